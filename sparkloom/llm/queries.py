@@ -1,11 +1,18 @@
 """The queries of the corpus operators, and their SQL where SQL can express them."""
 
-from . import decontaminate, packing, topk_search, url_filter
+from . import decontaminate, packing, simhash, substring_dedup, topk_search, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_simhash_groups": simhash.op9_simhash_groups,
     "op10_exact_topk": topk_search.op10_exact_topk,
 }
-ORACLE_SQL = {"op2_url_filter": url_filter.SQL, "op6_decontaminate": decontaminate.SQL, "op10_exact_topk": topk_search.SQL}
+ORACLE_SQL = {
+    "op2_url_filter": url_filter.SQL,
+    "op3_substring_dedup": substring_dedup.SQL,
+    "op6_decontaminate": decontaminate.SQL,
+    "op10_exact_topk": topk_search.SQL,
+}
