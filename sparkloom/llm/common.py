@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,11 +13,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once; one longer document is handled alone.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
+#: Rows in an Arrow batch at most: texts can be long, and a batch is in memory as a whole.
+BATCH_ROWS = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a table; all others, whatever they are called, stay unread."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
@@ -43,13 +47,9 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fold(doc_id: str | Column, parts: int) -> Column:
+def fold(doc_id: str, parts: int) -> Column:
     """crc32 of the id's decimal text, modulo parts; null for a null id."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts if isinstance(doc_id, str) else F.crc32(doc_id.cast("string").cast("binary")) % parts
-
-
-def py_fold(doc_id: int, parts: int) -> int:
-    return zlib.crc32(str(doc_id).encode()) % parts
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK) -> Iterator[pa.RecordBatch]:

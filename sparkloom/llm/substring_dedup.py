@@ -40,7 +40,7 @@ from .common import mix
 WINDOW = 13
 LAST = 2**63 - 1
 #: Text that a map task settles at once, and buckets per shuffle partition.
-SETTLED, BUCKETS = 16 << 20, 4
+SETTLED, BUCKETS = 6 << 20, 4
 
 
 def named(data: np.ndarray, offsets: np.ndarray, bytes_of: common.Rolling) -> tuple[np.ndarray, np.ndarray]:
