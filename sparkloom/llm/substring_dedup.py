@@ -9,7 +9,7 @@ inside a window is the same in every occurrence of it.  Of those each window tak
 one with the smallest name as its anchor (a window without one, say inside a long run, takes
 its own fingerprint).  Windows shared by documents thus share a high-level symbol,
 which brings them to the same bucket in one shuffle; there equal windows are verified by
-anchor and 64-bit fingerprint of all their words, and the smallest doc_id decides.
+32 bits of the anchor and the 64-bit fingerprint of all their words, and the smallest doc_id decides.
 
 Each map task first settles equal windows among its own documents and ships one
 occurrence of each, so a passage that fills a third of all documents costs one row per map
@@ -181,7 +181,7 @@ def settled(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Itera
             if len(r):
                 n = count[r]
                 w = np.repeat(first[r] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-                out.append((b, 0, packed(anchor[first[r]], rolled(doc[first[r]]), crc[first[r]].astype(np.uint32), pos[first[r]].astype(np.int32), n.astype(np.int32), mark[w])))
+                out.append((b, 0, packed(anchor[first[r]].astype(np.uint32), rolled(doc[first[r]]), crc[first[r]].astype(np.uint32), pos[first[r]].astype(np.int32), n.astype(np.int32), mark[w])))
         for i in range(0, len(out), 64):
             bs, ks, blobs = zip(*out[i : i + 64], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(bs, pa.int32()), pa.array(ks, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "kind", "blob"])
