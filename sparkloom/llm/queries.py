@@ -1,12 +1,14 @@
 """The queries of the corpus operators, and their SQL where SQL can express them."""
 
-from . import ctw, decontaminate, packing, simhash, substring_dedup, topk_search, url_filter
+from . import ctw, decontaminate, langid, packing, simhash, substring_dedup, topk_search, toxicity, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_ctw_score": ctw.op5_ctw_score,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_language_id": langid.op7_language_id,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_simhash_groups": simhash.op9_simhash_groups,
     "op10_exact_topk": topk_search.op10_exact_topk,
