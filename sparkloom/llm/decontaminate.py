@@ -166,6 +166,21 @@ def digests(found: DataFrame) -> DataFrame:
     return found.mapInArrow(work, RESULT)
 
 
+def clean(documents: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
+    """The rows without any hit, with all columns; each block of the benchmark is a filter of its own."""
+    spark = documents.sparkSession
+    schema = documents.schema
+    at = documents.columns.index("text")
+    for given in _tables(spark, benchmark, size):
+
+        def work(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
+            for batch in common.chunks(batches):
+                yield batch.filter(pa.array([not search(words_of(t), given.value)[0] for t in batch.column(at).to_pylist()], pa.bool_()))
+
+        documents = documents.mapInArrow(work, schema)
+    return documents
+
+
 def op6_decontaminate(spark, sf_dir):
     return digests(find_leaks(common.table(spark, sf_dir, "documents", "doc_id", "text"), common.table(spark, sf_dir, "benchmark", "item_id", "text")))
 

@@ -168,7 +168,7 @@ def predictions(documents: DataFrame, model: Model, keep: list[str]) -> DataFram
     """The columns keep of every row, with lang_pred, score and rejected."""
     spark = documents.sparkSession
     given = spark.sparkContext.broadcast(model)
-    rows = documents.select(F.col("text").alias("text"), *keep)
+    rows = documents.select("text", *(F.col(k).alias(f"_{i}") for i, k in enumerate(keep)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -187,5 +187,13 @@ def identify(documents: DataFrame) -> DataFrame:
     return predictions(marked, model, ["doc_id", "held_out"])
 
 
+def accepted(documents: DataFrame) -> DataFrame:
+    """The rows that a model of their own languages does not reject, with all columns."""
+    kept = documents.columns
+    model = fit(documents, training())
+    found = predictions(documents, model, kept)
+    return found.where(~F.col("rejected")).select(*kept)
+
+
 def op7_language_id(spark, sf_dir):
     return identify(common.table(spark, sf_dir, "documents", "doc_id", "text", "lang"))

@@ -1,8 +1,9 @@
 """The queries of the corpus operators, and their SQL where SQL can express them."""
 
-from . import ctw, decontaminate, langid, packing, simhash, substring_dedup, topk_search, toxicity, url_filter
+from . import ctw, decontaminate, langid, packing, pii, simhash, substring_dedup, topk_search, toxicity, url_filter
 
 QUERIES = {
+    "op1_pii_spans": pii.op1_pii_spans,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_toxicity": toxicity.op4_toxicity,

@@ -141,6 +141,18 @@ def groups(documents: DataFrame, size: int = SHINGLE, seed: int = SEED, longest:
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(documents: DataFrame, size: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """One row of each group, with all columns: that of the smallest doc_id (a null id comes after all, told apart by its text).
+
+    Rows of one doc_id are one document; one of them stays."""
+    kept = documents.columns
+    unnamed = F.lit(1 << 62).cast("long") + F.shiftrightunsigned(F.xxhash64("text"), 2)
+    keyed = documents.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), unnamed))
+    found = groups(keyed.select(F.col("_key").alias("doc_id"), "text"), size, seed)
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(*kept)
+
+
 def op9_simhash_groups(spark, sf_dir):
     found = groups(common.table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
