@@ -36,7 +36,7 @@ from .substring_dedup import packed, rolled, unpacked
 
 DEPTH = 5
 #: Text and documents in a chunk (a gram and a document's place fill 64 bits), and chunks whose counts one task merges at once.
-TEXT, PLACE, MERGED = 8 << 20, 64 - 8 * (DEPTH + 1), 1024
+TEXT, PLACE, MERGED = 6 << 20, 64 - 8 * (DEPTH + 1), 1024
 FOLDS, HELD_OUT = 7, 2
 END_WORD = np.uint64(0x5BD1E9955BD1E995)
 WORDS, GRAMS = 0, 1
@@ -79,40 +79,41 @@ class Chunk:
         self.ids, self.none, self.train, self.size, self.raw = unpacked(blob)
         self.start = DEPTH + np.append(0, np.cumsum(self.size + DEPTH)[:-1])
 
-    def grams(self, train_only: bool) -> np.ndarray:
+    def grams(self) -> np.ndarray:
         """Sorted: the context, its most recent byte first, the byte, and PLACE bits of the document's place."""
-        own = np.flatnonzero(self.train) if train_only else np.arange(len(self.ids))
-        if not len(own):
-            return np.zeros(0, np.uint64)
-        length = self.size[own] + 1
-        doc = np.repeat(own, length)
-        at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + self.start[doc]
-        code = np.zeros(len(at), np.uint64)
+        n = len(self.raw) - DEPTH
+        code = np.zeros(n, np.uint64)
         for back in range(1, DEPTH + 1):
-            code = (code << np.uint64(8)) | self.raw[at - back]
-        code = ((code << np.uint64(8)) | self.raw[at]) << np.uint64(PLACE) | doc.astype(np.uint64)
+            code <<= np.uint64(8)
+            code |= self.raw[DEPTH - back : DEPTH - back + n]
+        code <<= np.uint64(8)
+        code |= self.raw[DEPTH:]
+        code <<= np.uint64(PLACE)
+        step = np.zeros(n + 1, np.int32)  # +1 where a document starts, -1 after its end byte
+        step[self.start - DEPTH] += 1
+        step[self.start - DEPTH + self.size + 1] -= 1
+        inside = np.cumsum(step[:-1], dtype=np.int32) > 0
+        code = code[inside]
+        code |= np.repeat(np.arange(len(self.ids), dtype=np.uint64), self.size + 1)
         code.sort()
         return code
 
-    def words(self, train_only: bool) -> tuple[np.ndarray, np.ndarray]:
+    def words(self, bytes_of: common.Rolling) -> tuple[np.ndarray, np.ndarray]:
         """Names of all tokens, and the document's place of each."""
         word = (self.raw != 32) & (self.raw != 10)
-        edge = np.diff(word.astype(np.int8), prepend=0, append=0)
+        edge = np.diff(word.view(np.int8), prepend=np.int8(0), append=np.int8(0))
         start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        names = common.Rolling().ranges(common.BYTE_NAMES[self.raw], start, end)
+        names = bytes_of.ranges(common.BYTE_NAMES[self.raw], start, end)
         doc = np.searchsorted(self.start, start, side="right") - 1
-        names = np.append(names, np.full(len(self.ids), END_WORD))
-        doc = np.append(doc, np.arange(len(self.ids)))
-        keep = self.train[doc].astype(bool) if train_only else slice(None)
-        return names[keep], doc[keep]
+        return np.append(names, np.full(len(self.ids), END_WORD)), np.append(doc, np.arange(len(self.ids)))
 
 
-def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of a sorted array, and how often each is there."""
+def runs(keys: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of a sorted array, and how often each is there (or the sum of its weights)."""
     if not len(keys):
         return keys, np.zeros(0, np.int64)
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[first], np.diff(np.append(first, len(keys)))
+    return keys[first], np.diff(np.append(first, len(keys))) if weight is None else np.add.reduceat(weight, first, dtype=np.int64)
 
 
 def bucket_of(keys: np.ndarray, kind: int, buckets: int) -> np.ndarray:
@@ -130,13 +131,19 @@ def dealt(keys: np.ndarray, kind: int, buckets: int, *more: np.ndarray) -> Itera
         yield int(b), packed(rolled(keys[at]), *(m[at] for m in more))
 
 
-def counted(batches: Iterator[pa.RecordBatch], buckets: int, salts: int) -> Iterator[pa.RecordBatch]:
-    """Of chunks: distinct grams and words of the training documents with their counts, by bucket."""
+def gathered(batches: Iterator[pa.RecordBatch], buckets: int, salts: int) -> Iterator[pa.RecordBatch]:
+    """Of chunks: the distinct grams and words of all documents by bucket, with their counts in the training documents."""
+    bytes_of = common.Rolling()
     for chunk_id, blob in _rows(batches):
         chunk = Chunk(blob)
-        for kind, keys in ((WORDS, np.sort(chunk.words(True)[0])), (GRAMS, chunk.grams(True) >> np.uint64(PLACE))):
-            keys, n = runs(keys)
-            yield from _emit([(b, chunk_id % salts, kind, 0, 0, x) for b, x in dealt(keys, kind, buckets, n.astype(np.int64))], MODEL)
+        names, doc = chunk.words(bytes_of)
+        order = np.argsort(names)
+        words = runs(names[order], chunk.train[doc[order]])
+        codes = chunk.grams()
+        learns = chunk.train[(codes & np.uint64((1 << PLACE) - 1)).astype(np.int32)]
+        codes >>= np.uint64(PLACE)
+        for kind, (keys, n) in ((WORDS, words), (GRAMS, runs(codes, learns))):
+            yield from _emit([(b, chunk_id % salts, kind, chunk_id, x) for b, x in dealt(keys, kind, buckets, n)], REQUEST)
 
 
 def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,12 +168,13 @@ def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _emit([(*at, int(n.sum()), len(keys), packed(rolled(keys), n))], MODEL)
         keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-    for bucket, salt, kind, _, _, blob in _rows(batches):
+    for bucket, salt, kind, blob in _rows(batches):
         if (bucket, salt, kind) != at:
             yield from flush()
             at = bucket, salt, kind
         steps, times = unpacked(blob)
-        held.append((np.cumsum(steps), times))
+        own = np.cumsum(steps)
+        held.append((own[times > 0], times[times > 0]))
         if sum(len(k) for k, _ in held) > 1 << 20:
             fold()
     yield from flush()
@@ -284,14 +292,6 @@ def log10_bytes(codes: np.ndarray, levels: dict, mixed: tuple[np.ndarray, np.nda
     return out
 
 
-def requests(batches: Iterator[pa.RecordBatch], buckets: int, salts: int) -> Iterator[pa.RecordBatch]:
-    """Of chunks: the distinct grams and words of all documents, by bucket."""
-    for chunk_id, blob in _rows(batches):
-        chunk = Chunk(blob)
-        for kind, keys in ((WORDS, np.sort(chunk.words(False)[0])), (GRAMS, chunk.grams(False) >> np.uint64(PLACE))):
-            yield from _emit([(b, chunk_id % salts, kind, chunk_id, x) for b, x in dealt(runs(keys)[0], kind, buckets)], REQUEST)
-
-
 def answers(batches: Iterator[pa.RecordBatch], mixed) -> Iterator[pa.RecordBatch]:
     """Of rows in order of bucket, salt, kind, chunk, the model (chunk -1) first: for each request its keys' counts or logs."""
     at, held = None, []
@@ -302,7 +302,7 @@ def answers(batches: Iterator[pa.RecordBatch], mixed) -> Iterator[pa.RecordBatch
         if not held:
             return
         bucket, _, kind = at
-        keys = [np.cumsum(unpacked(b)[0]) for _, b in held]
+        keys = [np.cumsum(unpacked(b)[0]) for _, b in held]  # their counts are the model's affair
         every = np.unique(np.concatenate(keys))
         codes, n = model if model is not None else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         if kind == WORDS:
@@ -333,6 +333,7 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def finished(batches: Iterator[pa.RecordBatch], buckets: int, total: int, distinct: int) -> Iterator[pa.RecordBatch]:
     """Of chunks with their answers: a row for each document."""
+    bytes_of = common.Rolling()
     for _, blob, replies in _rows(batches):
         chunk = Chunk(blob)
         docs = len(chunk.ids)
@@ -347,13 +348,13 @@ def finished(batches: Iterator[pa.RecordBatch], buckets: int, total: int, distin
                 out[by[edge[b] : edge[b + 1]]] = got[kind, int(b)]
             return out
 
-        names, doc = chunk.words(False)
+        names, doc = chunk.words(bytes_of)
         own, inverse = np.unique(names, return_inverse=True)
         count = answered(own, WORDS)[inverse]
         tokens = np.bincount(doc, minlength=docs)
         known = np.bincount(doc, count > 0, docs).astype(np.int64)
         base = np.bincount(doc, np.log10((count + 1) / (total + distinct + 1)), docs)
-        grams = chunk.grams(False)
+        grams = chunk.grams()
         own, n = runs(grams >> np.uint64(PLACE))
         score = np.bincount((grams & np.uint64((1 << PLACE) - 1)).astype(np.int64), np.repeat(answered(own, GRAMS), n), docs)
         size = chunk.size + 1
@@ -371,21 +372,24 @@ def score_texts(documents: DataFrame, folds: int = FOLDS, held_out: int = HELD_O
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("train", train)
     store = common.stored(rows.mapInArrow(chunked, "chunk long, docs binary"))
     salts = -(-store.count() // MERGED) or 1
+    asked = common.stored(store.mapInArrow(lambda b: gathered(b, buckets, salts), REQUEST))
 
     def sorted_by(df: DataFrame, *keys: str) -> DataFrame:
         return df.repartition(buckets, "bucket", "salt").sortWithinPartitions(*keys)
 
-    model = sorted_by(store.mapInArrow(lambda b: counted(b, buckets, salts), MODEL), "bucket", "salt", "kind").mapInArrow(merged, MODEL)
+    def summed(df: DataFrame) -> DataFrame:
+        return sorted_by(df.select("bucket", "salt", "kind", "blob"), "bucket", "salt", "kind").mapInArrow(merged, MODEL)
+
+    model = summed(asked)
     if salts > 1:
-        model = sorted_by(model.withColumn("salt", F.lit(0)), "bucket", "salt", "kind").mapInArrow(merged, MODEL)
+        model = summed(model.withColumn("salt", F.lit(0)))
     model = common.stored(model)
     words = model.where(F.col("kind") == WORDS).agg(F.sum("total"), F.sum("distinct")).first()
     total, distinct = words[0] or 0, words[1] or 0
     upper = model.where(F.col("kind") == GRAMS).select("blob").mapInArrow(upper_sums, UPPER).groupBy("context", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("log"))
     mixed = spark.sparkContext.broadcast(upper_mix(upper.collect()))  # 256 x 255 rows at most
     given = model.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "kind", F.lit(-1).cast("long").alias("chunk"), "blob")
-    asked = store.mapInArrow(lambda b: requests(b, buckets, salts), REQUEST).unionByName(given)
-    replies = sorted_by(asked, "bucket", "salt", "kind", "chunk").mapInArrow(lambda b: answers(b, mixed), REQUEST)
+    replies = sorted_by(asked.unionByName(given), "bucket", "salt", "kind", "chunk").mapInArrow(lambda b: answers(b, mixed), REQUEST)
     replies = replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "kind", "blob")).alias("replies"))
     return store.join(replies, "chunk").mapInArrow(lambda b: finished(b, buckets, total, distinct), RESULT)
 
