@@ -149,7 +149,8 @@ def fit(documents: DataFrame, labels: DataFrame) -> tuple[dict[bytes, int], int,
     teaches = common.fold("doc_id", FOLDS) != HELD_OUT
     known = labels.where(F.col("toxic").isNotNull() & teaches).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     chosen = common.stored(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE))
-    rows = documents.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")  # SAMPLE ids at most
+    # SAMPLE ids at most; what they label is read once, and then from a table of its own
+    rows = common.stored(documents.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"))
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
