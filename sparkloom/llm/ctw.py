@@ -37,6 +37,8 @@ from .substring_dedup import packed, rolled, unpacked
 DEPTH = 5
 #: Text and documents in a chunk (a gram and a document's place fill 64 bits), and chunks whose counts one task merges at once.
 TEXT, PLACE, MERGED = 6 << 20, 64 - 8 * (DEPTH + 1), 1024
+#: Bytes of a chunk that are taken apart at once.
+BLOCK = 1 << 20
 FOLDS, HELD_OUT = 7, 2
 END_WORD = np.uint64(0x5BD1E9955BD1E995)
 WORDS, GRAMS = 0, 1
@@ -73,39 +75,57 @@ def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Chunk:
-    """The documents of a chunk, and their grams and words."""
+    """The documents of a chunk, and their grams and words, a block of documents at a time."""
 
     def __init__(self, blob: bytes) -> None:
         self.ids, self.none, self.train, self.size, self.raw = unpacked(blob)
         self.start = DEPTH + np.append(0, np.cumsum(self.size + DEPTH)[:-1])
 
-    def grams(self) -> np.ndarray:
+    def blocks(self) -> Iterator[tuple[int, int]]:
+        """Ranges of documents of at most BLOCK bytes, or of one document."""
+        ends = self.start + self.size
+        lo = 0
+        while lo < len(self.ids):
+            hi = max(lo + 1, int(np.searchsorted(ends, self.start[lo] + BLOCK, side="right")))
+            yield lo, hi
+            lo = hi
+
+    def grams(self, lo: int, hi: int) -> np.ndarray:
         """Sorted: the context, its most recent byte first, the byte, and PLACE bits of the document's place."""
-        n = len(self.raw) - DEPTH
+        start, size = self.start[lo:hi] - self.start[lo], self.size[lo:hi]
+        raw = self.raw[self.start[lo] - DEPTH : self.start[hi - 1] + size[-1] + 1]
+        n = len(raw) - DEPTH
         code = np.zeros(n, np.uint64)
         for back in range(1, DEPTH + 1):
             code <<= np.uint64(8)
-            code |= self.raw[DEPTH - back : DEPTH - back + n]
+            code |= raw[DEPTH - back : DEPTH - back + n]
         code <<= np.uint64(8)
-        code |= self.raw[DEPTH:]
+        code |= raw[DEPTH:]
         code <<= np.uint64(PLACE)
-        step = np.zeros(n + 1, np.int32)  # +1 where a document starts, -1 after its end byte
-        step[self.start - DEPTH] += 1
-        step[self.start - DEPTH + self.size + 1] -= 1
-        inside = np.cumsum(step[:-1], dtype=np.int32) > 0
-        code = code[inside]
-        code |= np.repeat(np.arange(len(self.ids), dtype=np.uint64), self.size + 1)
+        step = np.zeros(n + 1, np.int8)  # +1 where a document starts, -1 after its end byte
+        step[start] += 1
+        step[start + size + 1] -= 1
+        code = code[np.cumsum(step[:-1], dtype=np.int8) > 0]
+        code |= np.repeat(np.arange(lo, hi, dtype=np.uint64), size + 1)
         code.sort()
         return code
 
-    def words(self, bytes_of: common.Rolling) -> tuple[np.ndarray, np.ndarray]:
+    def words(self, lo: int, hi: int, bytes_of: common.Rolling) -> tuple[np.ndarray, np.ndarray]:
         """Names of all tokens, and the document's place of each."""
-        word = (self.raw != 32) & (self.raw != 10)
+        raw = self.raw[self.start[lo] : self.start[hi - 1] + self.size[hi - 1] + 1]
+        word = (raw != 32) & (raw != 10)
         edge = np.diff(word.view(np.int8), prepend=np.int8(0), append=np.int8(0))
         start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        names = bytes_of.ranges(common.BYTE_NAMES[self.raw], start, end)
-        doc = np.searchsorted(self.start, start, side="right") - 1
-        return np.append(names, np.full(len(self.ids), END_WORD)), np.append(doc, np.arange(len(self.ids)))
+        names = bytes_of.ranges(common.BYTE_NAMES[raw], start, end)
+        doc = np.searchsorted(self.start[lo:hi], start + self.start[lo], side="right") - 1 + lo
+        return np.append(names, np.full(hi - lo, END_WORD)), np.append(doc, np.arange(lo, hi)).astype(np.int32)
+
+
+def together(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys with counts, put together."""
+    keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys, kind="stable")
+    return runs(keys[order], n[order])
 
 
 def runs(keys: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -136,13 +156,17 @@ def gathered(batches: Iterator[pa.RecordBatch], buckets: int, salts: int) -> Ite
     bytes_of = common.Rolling()
     for chunk_id, blob in _rows(batches):
         chunk = Chunk(blob)
-        names, doc = chunk.words(bytes_of)
-        order = np.argsort(names)
-        words = runs(names[order], chunk.train[doc[order]])
-        codes = chunk.grams()
-        learns = chunk.train[(codes & np.uint64((1 << PLACE) - 1)).astype(np.int32)]
-        codes >>= np.uint64(PLACE)
-        for kind, (keys, n) in ((WORDS, words), (GRAMS, runs(codes, learns))):
+        words, grams = [], []
+        for lo, hi in chunk.blocks():
+            names, doc = chunk.words(lo, hi, bytes_of)
+            order = np.argsort(names)
+            words.append(runs(names[order], chunk.train[doc[order]]))
+            codes = chunk.grams(lo, hi)
+            learns = chunk.train[(codes & np.uint64((1 << PLACE) - 1)).astype(np.int32)]
+            codes >>= np.uint64(PLACE)
+            grams.append(runs(codes, learns))
+        for kind, parts in ((WORDS, words), (GRAMS, grams)):
+            keys, n = together(parts)
             yield from _emit([(b, chunk_id % salts, kind, chunk_id, x) for b, x in dealt(keys, kind, buckets, n)], REQUEST)
 
 
@@ -198,7 +222,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     for i in range(8):
         below *= x + i
     y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(below)
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) - np.log(below)
 
 
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -348,18 +372,24 @@ def finished(batches: Iterator[pa.RecordBatch], buckets: int, total: int, distin
                 out[by[edge[b] : edge[b + 1]]] = got[kind, int(b)]
             return out
 
-        names, doc = chunk.words(bytes_of)
-        own, inverse = np.unique(names, return_inverse=True)
-        count = answered(own, WORDS)[inverse]
-        tokens = np.bincount(doc, minlength=docs)
-        known = np.bincount(doc, count > 0, docs).astype(np.int64)
-        base = np.bincount(doc, np.log10((count + 1) / (total + distinct + 1)), docs)
-        grams = chunk.grams()
-        own, n = runs(grams >> np.uint64(PLACE))
-        score = np.bincount((grams & np.uint64((1 << PLACE) - 1)).astype(np.int64), np.repeat(answered(own, GRAMS), n), docs)
+        words = [chunk.words(lo, hi, bytes_of) for lo, hi in chunk.blocks()]
+        own = np.unique(np.concatenate([np.unique(names) for names, _ in words]))
+        count = answered(own, WORDS)
+        tokens, known, base, score = (np.zeros(docs) for _ in range(4))
+        for names, doc in words:
+            n = count[np.searchsorted(own, names)]
+            tokens += np.bincount(doc, minlength=docs)
+            known += np.bincount(doc, n > 0, docs)
+            base += np.bincount(doc, np.log10((n + 1) / (total + distinct + 1)), docs)
+        grams = [chunk.grams(lo, hi) for lo, hi in chunk.blocks()]
+        own = np.unique(np.concatenate([runs(g >> np.uint64(PLACE))[0] for g in grams]))
+        logs = answered(own, GRAMS)
+        for g in grams:
+            keys, n = runs(g >> np.uint64(PLACE))
+            score += np.bincount((g & np.uint64((1 << PLACE) - 1)).astype(np.int32), np.repeat(logs[np.searchsorted(own, keys)], n), docs)
         size = chunk.size + 1
         yield pa.RecordBatch.from_arrays(
-            [pa.array(chunk.ids, mask=chunk.none.astype(bool)), pa.array(chunk.train == 0), *map(pa.array, (tokens.astype(np.int64), known)), pa.array(np.full(docs, total, np.int64)), *map(pa.array, (base, score, size.astype(np.int64), -score * np.log2(10) / size))],
+            [pa.array(chunk.ids, mask=chunk.none.astype(bool)), pa.array(chunk.train == 0), *map(pa.array, (tokens.astype(np.int64), known.astype(np.int64))), pa.array(np.full(docs, total, np.int64)), *map(pa.array, (base, score, size.astype(np.int64), -score * np.log2(10) / size))],
             names=[x.split()[0] for x in RESULT.split(", ")],
         )
 
