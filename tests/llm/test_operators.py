@@ -1,0 +1,564 @@
+"""Every operator against a brute-force version, on small tables with every oddity."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+
+import corpus_pipeline
+from sparkloom.llm import common, ctw, decontaminate, langid, packing, pii, queries, simhash, substring_dedup, topk_search, toxicity, url_filter
+
+OPS = {re.match(r"op(\d+)", name)[1]: name for name in queries.QUERIES}
+
+
+def rows(df) -> list:
+    return df.collect()
+
+
+def run(spark, folder, n) -> list:
+    return rows(queries.QUERIES[OPS[str(n)]](spark, folder))
+
+
+def documents(folder) -> list:
+    return duckdb.sql(f"SELECT doc_id, text, lang FROM '{folder}/documents.parquet'").fetchall()
+
+
+def lower(t) -> str:
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+
+
+def split(t) -> list:
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+# -- all operators ---------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_empty_tables_give_empty_results(spark, empty, name):
+    assert rows(queries.QUERIES[name](spark, empty)) == []
+
+
+@pytest.mark.parametrize("n", [1, 3, 4, 5, 6, 7, 9])
+def test_one_row_per_document(spark, odd, n):
+    got = Counter(r["doc_id"] for r in run(spark, odd, n))
+    assert got == Counter(d for d, _, _ in documents(odd))
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_sql(spark, odd, sf, name):
+    for folder in (odd, sf):
+        con = duckdb.connect()
+        for t in ("documents", "benchmark", "pages", "embeddings"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+        if name.startswith("op10") and folder == odd:  # DuckDB has no wider integers for 1e30, nor zips of unequal lists
+            con.execute("CREATE OR REPLACE VIEW embeddings AS SELECT * FROM (SELECT * FROM '" + folder + "/embeddings.parquet') WHERE vec_id IS NULL OR vec_id NOT IN (900, 901, 800)")
+            continue
+        want = con.sql(queries.ORACLE_SQL[name])
+        df = queries.QUERIES[name](spark, folder)
+        assert sorted(df.columns) == sorted(want.columns)
+        order = sorted(df.columns)
+        key = lambda r: tuple((v is None, str(v)) for v in r)
+        assert sorted((tuple(r[c] for c in order) for r in rows(df)), key=key) == sorted((tuple(r) for r in want.project(", ".join(order)).fetchall()), key=key)
+
+
+# -- 1: personal data --------------------------------------------------------------------------
+
+
+def brute_spans(t) -> list:
+    t = t or ""
+
+    def luhn(d):
+        return sum((lambda n: n - 9 if n > 9 else n)(int(c) * (1 + i % 2)) for i, c in enumerate(d[::-1])) % 10 == 0
+
+    out = []
+    for kind, pattern in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(pattern, t):
+            d = re.sub("[^0-9]", "", m.group())
+            if kind == "ip" and any(int(p) > 255 for p in m.group().split(".")):
+                continue
+            if kind == "card" and not (16 <= len(d) <= 19 and luhn(d)):
+                continue
+            if kind == "phone" and not 8 <= len(d) <= 15:
+                continue
+            out.append((kind, m.start(), m.end()))
+    return out
+
+
+TRICKY = ["a@b@c.com x@c.com@d.org", "a..b@-.-", "1.2.3.4.5.6.7.8 01.002.3.255 1.2.3.256 1.2.3", "+1((((2 +12345678 +1.2-3 4(5)6 7 8 9", "4111-1111 1111-1111 5 4111  1111", "é@x.y " + "9" * 40 + "@a.b", "+" * 30 + "1" * 16, "@" * 20, "1.1.1.1" * 5, "x@y.z" * 10, "123-456-7890 +0 12 (34) 56-78."]
+
+
+@pytest.mark.parametrize("text", TRICKY)
+def test_base_spans(text):
+    assert pii.base_spans(text) == brute_spans(text)
+
+
+def test_base_spans_random():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choice("1234567890..@+- ()aZ%_é4111") for _ in range(rng.randrange(60)))
+        assert pii.base_spans(text) == brute_spans(text), text
+
+
+def test_pii(spark, odd):
+    got = {r.doc_id: r for r in run(spark, odd, 1)}
+    for doc, text, _ in documents(odd):
+        if doc in (None, 208, 209):
+            continue
+        base, r = brute_spans(text), got[doc]
+        told = ",".join(f"{k}:{s}:{e}" for k, s, e in base)
+        assert r.base_sha256 == hashlib.sha256(told.encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, _, _ in base) for kind in pii.KINDS]
+        spans = [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in r.spans.split(",") if x)]
+        assert set(base) <= set(spans) and spans == sorted(spans, key=lambda x: (pii.KINDS.index(x[0]), x[1]))
+        assert all(0 <= s < e <= len(text) for _, s, e in spans)
+
+
+def test_method_adds_disguised_spans(spark):
+    model = pii.fit(common.table(spark, "/root/testdata/sf0.1", "documents", "doc_id", "text"))
+    for text, kind in (("call me at (333) 555-8558 today", "phone"), ("my ip 10[.]20[.]30[.]40 is up", "ip"), ("card 4111.1111.1111.1111 ok", "card")):
+        assert [k for k, _, _ in pii.spans_of(text, model)[1]] == [kind], text
+    for text in ("version 4.0.2 of 2024-05-17", "at noon. Then we left", "page 12 of 999", "chapter 10.20", "it cost $1,234.56"):
+        assert pii.spans_of(text, model) == ([], []), text
+
+
+def test_redaction(spark, odd):
+    got = {r.doc_id: r for r in rows(pii.redact(common.table(spark, odd, "documents", "doc_id", "text", "lang", "source", "n_chars")))}
+    assert got[210].text.startswith("Mail [EMAIL] or call [PHONE], card [CARD], host [IP]") and got[210].n_chars == len(got[210].text)
+    assert got[200].text is None and got[0].text == documents(odd)[0][1]
+
+
+# -- 2: url rules --------------------------------------------------------------------------------
+
+
+def test_url_filter(spark, odd):
+    got = run(spark, odd, 2)
+    rules = sorted(url_filter.RULES, key=lambda r: -len(r[0] + r[1]))
+    for r, (page, url) in zip(sorted(got, key=str), sorted(duckdb.sql(f"SELECT page_id, url FROM '{odd}/pages.parquet'").fetchall(), key=str), strict=True):
+        del r, page, url
+    by = defaultdict(list)
+    for r in got:
+        by[r.page_id].append(r)
+    for page, url in duckdb.sql(f"SELECT page_id, url FROM '{odd}/pages.parquet'").fetchall():
+        host, path = "", ""
+        if m := re.search(r"://([^/?#]*)([^?#]*)", url or ""):
+            host, path = lower(m[1]), m[2]
+        fit = next(((h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)), None)
+        glob = any(re.fullmatch("".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in g), host + path, re.S) for g in url_filter.GLOBS)
+        want = (host, path, fit[0] if fit else None, fit[1] if fit else "block" if glob else "allow")
+        assert want in [(r.host, r.path, r.rule, r.verdict) for r in by[page]]
+
+
+def test_automaton_against_regex():
+    import random
+
+    rng = random.Random(1)
+    globs = ["".join(rng.choice("ab/*?") for _ in range(rng.randrange(1, 9))) for _ in range(40)]
+    texts = ["".join(rng.choice("ab/") for _ in range(rng.randrange(0, 12))) for _ in range(200)]
+    import pyarrow as pa
+
+    got = url_filter.Automaton([url_filter.glob_tokens(g) for g in globs]).run(*common.flat(pa.array(texts)))
+    for i, t in enumerate(texts):
+        for j, g in enumerate(globs):
+            assert got[i, j] == bool(re.fullmatch("".join({"*": ".*", "?": "."}.get(c, c) for c in g), t)), (t, g)
+
+
+# -- 3: repeated windows -----------------------------------------------------------------------------
+
+
+def brute_kept(docs) -> list:
+    least: dict = {}
+    for d, t, _ in docs:
+        w = split(t)
+        for i in range(len(w) - 12):
+            k = tuple(w[i : i + 13])
+            if d is not None:
+                least[k] = min(least.get(k, d), d)
+    out = []
+    for d, t, _ in docs:
+        w = split(t)
+        gone = set()
+        for i in range(len(w) - 12):
+            first = least.get(tuple(w[i : i + 13]))
+            if first is not None and (d is None or first < d):
+                gone |= set(range(i, i + 13))
+        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+        out.append((d, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("settled", [1 << 10, 6 << 20])
+def test_substring_dedup(spark, odd, settled, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SETTLED", settled)
+    monkeypatch.setattr(common, "CHUNK", settled)
+    got = sorted(map(tuple, run(spark, odd, 3)), key=str)
+    assert got == sorted(brute_kept(documents(odd)), key=str)
+    assert sum(r[2] for r in got) > 500
+
+
+def test_anchors_depend_on_the_window_alone():
+    rng = np.random.default_rng(2)
+    middle = rng.integers(0, 4, 200).astype(np.uint64)  # few names: many runs
+    one = np.concatenate([rng.integers(0, 4, 50).astype(np.uint64), middle, rng.integers(0, 4, 31).astype(np.uint64)])
+    two = np.concatenate([rng.integers(0, 4, 77).astype(np.uint64), middle])
+    a = substring_dedup.anchors(one, np.zeros(len(one), np.int64), 13)[50 : 50 + 188]
+    b = substring_dedup.anchors(two, np.zeros(len(two), np.int64), 13)[77 : 77 + 188]
+    assert (a == b).all() and len(np.unique(a)) > 5
+
+
+# -- 4: toxicity ---------------------------------------------------------------------------------------
+
+
+def test_toxicity_learns_and_holds_out(spark, odd):
+    got = run(spark, odd, 4)
+    for r in got:
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+    by = {r.doc_id: r for r in got}
+    held = [(by[d].predicted, int("fool" in t)) for d, t, _ in documents(odd) if d is not None and 400 <= d < 460 and by[d].held_out]
+    assert held and np.mean([a == b for a, b in held]) >= 0.8
+
+
+def test_toxicity_on_driver_data(spark):
+    folder = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in run(spark, folder, 4)}
+    labels = duckdb.sql(f"SELECT doc_id, toxic FROM '{folder}/labels.parquet'").fetchall()
+    held = [(got[d].score, y) for d, y in labels if got[d].held_out]
+    right, wrong = [s for s, y in held if y], [s for s, y in held if not y]
+    assert np.mean([a > b for a in right for b in wrong]) > 0.8
+    assert np.mean([got[d].predicted for d, y in labels if not y]) < 0.05
+
+
+def test_label_model_weighs_voters():
+    rng = np.random.default_rng(0)
+    truth = rng.random(2000) < 0.3
+    good = np.where(rng.random(2000) < 0.95, truth, ~truth)
+    poor = np.where(rng.random(2000) < 0.55, truth, ~truth)
+    cast = np.where(np.column_stack([good, poor, poor]), 1, -1)
+    gold = np.where(rng.random(2000) < 0.9, truth, ~truth)
+    post, accuracy, corr = toxicity.label_model(cast, gold)
+    assert accuracy[0] > accuracy[1] and corr[1, 2] > 0.9 > corr[0, 1]
+    assert ((post > 0.5) == truth).mean() > 0.93
+
+
+# -- 5: language model -----------------------------------------------------------------------------------
+
+
+def brute_ctw(train: list[bytes], texts: list[bytes]) -> list[float]:
+    depth, tree = ctw.DEPTH, {}
+    for s in train:
+        s = b"\n" * depth + s + b"\n"
+        for q in range(depth, len(s)):
+            for d in range(depth + 1):
+                node = 1
+                for k in range(7, -1, -1):
+                    bit = s[q] >> k & 1
+                    tree.setdefault((s[q - d : q], node), [0, 0])[bit] += 1
+                    node = 2 * node + bit
+    children, own = defaultdict(float), {}
+    for (context, node), (a, b) in sorted(tree.items(), key=lambda x: -len(x[0][0])):
+        e = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+        w, own[context, node] = e, 1.0
+        if len(context) < depth:
+            w = np.logaddexp(e, children[context, node]) - math.log(2)
+            own[context, node] = math.exp(e - w - math.log(2))
+        if context:
+            children[context[1:], node] += w
+    out = []
+    for s in texts:
+        s, total = b"\n" * depth + s + b"\n", 0.0
+        for q in range(depth, len(s)):
+            node = 1
+            for k in range(7, -1, -1):
+                bit, one = s[q] >> k & 1, 0.5
+                for d in range(depth, -1, -1):
+                    key = s[q - d : q], node
+                    one = own[key] * (tree[key][1] + 0.5) / (sum(tree[key]) + 1) + (1 - own[key]) * one if key in tree else 0.5
+                total += math.log10(one if bit else 1 - one)
+                node = 2 * node + bit
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("merged", [1, 1024])
+def test_ctw(spark, odd, merged, monkeypatch):
+    monkeypatch.setattr(ctw, "MERGED", merged)
+    monkeypatch.setattr(ctw, "TEXT", 60_000 if merged == 1 else 6 << 20)
+    monkeypatch.setattr(ctw, "BLOCK", 5_000 if merged == 1 else 1 << 20)
+    docs = [(d, lower(t).encode().split(), zlib.crc32(str(d).encode()) % 7 if d is not None else 0) for d, t, _ in documents(odd)]
+    count = Counter()
+    for _, w, fold in docs:
+        if fold != 2:
+            count.update([*w, None])
+    total, kinds = sum(count.values()), len(count)
+    want = []
+    chosen = [i for i, (_, w, _) in enumerate(docs) if sum(map(len, w)) < 700]
+    model = dict(zip(chosen, brute_ctw([b" ".join(w) for _, w, f in docs if f != 2], [b" ".join(docs[i][1]) for i in chosen]), strict=True)) if merged > 1 else {}
+    for i, (d, w, fold) in enumerate(docs):
+        tokens = [*w, None]
+        base = sum(math.log10((count[x] + 1) / (total + kinds + 1)) for x in tokens)
+        want.append((str(d), fold == 2, len(tokens), sum(count[x] > 0 for x in tokens), total, base, model.get(i)))
+    got = run(spark, odd, 5)
+    for w, r in zip(sorted(want, key=lambda x: (x[0], x[2], x[5])), sorted(got, key=lambda r: (str(r.doc_id), r.n_tokens, r.base_score)), strict=True):
+        assert w[:5] == (str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens)
+        assert r.base_score == pytest.approx(w[5], rel=1e-9)
+        assert r.bits_per_byte == pytest.approx(-r.score * math.log2(10) / r.n_bytes)
+        if w[6] is not None:
+            assert r.score == pytest.approx(w[6], rel=1e-5)
+
+
+def test_log_gamma():
+    x = np.array([0.5, 1, 1.5, 7.25, 100, 12345.5])
+    assert ctw.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-9, abs=1e-9)
+
+
+# -- 6: benchmark passages -----------------------------------------------------------------------------
+
+
+def benchmark_words(t) -> list:
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+
+
+@pytest.mark.parametrize("items", [2, 20_000])
+def test_decontamination(spark, odd, items, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEMS", items)
+    windows = defaultdict(set)
+    for item, text in duckdb.sql(f"SELECT item_id, text FROM '{odd}/benchmark.parquet'").fetchall():
+        w = benchmark_words(text)
+        n = min(10, len(w))
+        for i in range(len(w) - n + 1 if n else 0):
+            windows[tuple(w[i : i + n])] |= {item} - {None}
+    want = []
+    for d, t, _ in documents(odd):
+        w = benchmark_words(t)
+        hit, found = set(), set()
+        for i in range(len(w)):
+            for n in {len(k) for k in windows}:
+                if tuple(w[i : i + n]) in windows and i + n <= len(w):
+                    hit |= set(range(i, i + n))
+                    found |= windows[tuple(w[i : i + n])]
+        told = ",".join(sorted(map(str, found)))
+        want.append((d, len(w), len(hit), len(found), hashlib.sha256(told.encode()).hexdigest(), bool(hit)))
+    assert sorted(map(tuple, run(spark, odd, 6)), key=str) == sorted(want, key=str)
+    assert sum(x[5] for x in want) > 10
+    clean = decontaminate.clean(common.table(spark, odd, "documents", "doc_id", "text"), common.table(spark, odd, "benchmark", "item_id", "text"))
+    assert Counter(r.doc_id for r in rows(clean)) == Counter(x[0] for x in want if not x[5])
+
+
+# -- 7: languages ----------------------------------------------------------------------------------------
+
+
+def test_language(spark, odd):
+    got = run(spark, odd, 7)
+    by = {r.doc_id: r for r in got if r.doc_id not in (None, 208, 209)}
+    for d, t, _ in documents(odd):
+        if d in by:
+            assert by[d].held_out == (zlib.crc32(str(d).encode()) % 3 == 1)
+            if not t or not any(map(str.isalpha, t)):
+                assert (by[d].lang_pred, by[d].score, by[d].rejected) == ("und", 0.0, True)
+            else:
+                assert by[d].lang_pred in ("en", "fr") and 0 <= by[d].score <= 1
+
+
+def test_language_accuracy(spark):
+    folder = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in run(spark, folder, 7)}
+    held = [(got[d].lang_pred == lang) for d, _, lang in documents(folder) if got[d].held_out]
+    assert np.mean(held) > 0.97
+    assert np.mean([r.rejected for r in got.values()]) < 0.01
+
+
+def test_rejection_is_by_distance():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    english = ["".join(rng.choice(["the ", "and ", "ing ", "tion ", "of "]) for _ in range(60)) for _ in range(50)]
+    idf = np.ones(langid.DIM)
+    texts = pa.array(english)
+    model = langid.Model(idf, {"en": (langid.vectors(texts, idf), langid.band(texts))})
+    _, _, rejected = model.predict(pa.array([english[0], "zqxj wvkf " * 30, None, "123", "of"]))
+    assert rejected.tolist() == [False, True, True, True, False]
+
+
+# -- 8: packing ------------------------------------------------------------------------------------------
+
+
+def test_packing(spark, odd):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = Counter()
+    for d, t, _ in documents(odd):
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        first = len(ids) % 2048 or 2048
+        starts = [0, *range(first, len(ids), 2048)]
+        for i, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
+            want[d, i, a, b - a, zlib.crc32(ids[a:b].tobytes())] += 1
+    got = run(spark, odd, 8)
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    sequences = defaultdict(list)
+    for r in got:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for own in sequences.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(sequences) <= math.ceil(sum(r.length for r in got) / 2048) + 1
+
+
+def test_plans_are_tight():
+    import random
+
+    rng = random.Random(4)
+    for limit in (10, 50, 2048):
+        for _ in range(20):
+            have = Counter(rng.randrange(1, limit + 1) for _ in range(rng.randrange(1, 400)))
+            sets = packing.plan(dict(have), limit)
+            used = Counter()
+            for sizes, times in sets:
+                assert sum(sizes) <= limit and times > 0
+                for s in sizes:
+                    used[s] += times
+            assert used == have
+            bins, least = sum(t for _, t in sets), max(math.ceil(sum(s * n for s, n in have.items()) / limit), sum(n for s, n in have.items() if 2 * s > limit))
+            assert bins <= math.ceil(11 / 9 * least) + 1
+
+
+def optimum(items: tuple, limit: int) -> int:
+    best = [len(items)]
+
+    def place(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(bins)
+            return
+        for j in range(len(bins)):
+            if bins[j] + items[i] <= limit and bins[j] not in bins[:j]:
+                place(i + 1, [*bins[:j], bins[j] + items[i], *bins[j + 1 :]])
+        place(i + 1, [*bins, items[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_reduction_keeps_the_optimum():
+    import random
+
+    rng = random.Random(8)
+    for _ in range(150):
+        limit = rng.choice([10, 13, 20])
+        items = tuple(sorted((rng.randrange(1, limit + 1) for _ in range(rng.randrange(1, 10))), reverse=True))
+        have = dict(Counter(items))
+        fixed = sum(t for _, t in packing.reduce(have, limit))
+        rest = tuple(sorted(Counter(have).elements(), reverse=True))
+        assert fixed + optimum(rest, limit) == optimum(items, limit), items
+
+
+# -- 9: near copies ----------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("longest", [1, 64])
+def test_simhash(spark, odd, longest):
+    docs = documents(odd)
+    fps = []
+    for _, t, _ in docs:
+        w = split(lower(t))
+        shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []
+        hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+        fps.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 2:
+                root[find(i)] = find(j)
+    ids = defaultdict(list)
+    for i, (d, _, _) in enumerate(docs):
+        if d is not None:
+            ids[find(i)].append(d)
+    want = sorted(((d, fps[i], min(ids[find(i)], default=None)) for i, (d, _, _) in enumerate(docs)), key=str)
+    found = simhash.groups(common.table(spark, odd, "documents", "doc_id", "text"), longest=longest)
+    assert sorted(((r.doc_id, r.fp % (1 << 64), r.component_id) for r in rows(found)), key=str) == want
+    if longest == 64:
+        assert sorted(((r.doc_id, int(r.fingerprint, 16), r.component_id) for r in run(spark, odd, 9)), key=str) == want
+        assert all(re.fullmatch("[0-9a-f]{16}", r.fingerprint) for r in run(spark, odd, 9))
+
+
+def test_components_of_long_chains(spark):
+    from sparkloom.llm.components import components
+
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100 + (i * 37) % 50, 100 + ((i + 1) * 37) % 50) for i in range(49)] + [(500, 499), (501, 500), (500, 501)]
+    got = {r.u: r.v for r in rows(components(spark.createDataFrame(edges, "u long, v long")))}
+    assert got == {**{i: 0 for i in range(1, 61)}, **{i: 100 for i in range(101, 150)}, 500: 499, 501: 499}
+
+
+def test_one_of_each(spark, odd):
+    kept = rows(simhash.one_of_each(common.table(spark, odd, "documents", "doc_id", "text", "lang", "source", "n_chars")))
+    ids = Counter(r.doc_id for r in kept)
+    assert ids[5] == 1 and not any(ids[100 + i] for i in range(12)) and ids[209] == 0 and ids[9] == 1 and ids[None] == 1
+
+
+# -- 10: search --------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("block", [1, 1024])
+def test_topk(spark, odd, block, monkeypatch):
+    monkeypatch.setattr(topk_search, "BLOCK", block)
+    vectors = []
+    for i, e in duckdb.sql(f"SELECT vec_id, embedding FROM '{odd}/embeddings.parquet'").fetchall():
+        if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e):
+            vectors.append((i, [math.floor(1024 * x) for x in e]))
+    queries_ = {i: e for i, e in reversed(vectors) if i % 100 == 0}
+    want = []
+    for q, e in queries_.items():
+        scored = sorted(((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(e, f)))), i) for i, f in vectors if i != q))[:10]  # noqa: B905
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+    assert sorted(map(tuple, run(spark, odd, 10))) == sorted(want)
+
+
+# -- the pipeline --------------------------------------------------------------------------------------------
+
+
+def test_stages(spark, odd):
+    docs = common.table(spark, odd, "documents", *corpus_pipeline.COLUMNS)
+    before = rows(docs)
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, odd)
+        if i < len(corpus_pipeline.STAGES) - 1:
+            assert out.columns == list(corpus_pipeline.COLUMNS), name
+            docs = common.stored(out)
+            after = rows(docs)
+            assert after and len(after) <= len(before)
+            before = after
+    kept = {r.doc_id: r.text for r in before}
+    assert 200 not in kept and 203 not in kept  # no language
+    assert not any(100 + i in kept for i in range(12))  # copies
+    assert 8 not in kept and 9 not in kept  # benchmark passages
+    assert "[EMAIL]" in kept[210]
+    pieces = rows(out)
+    assert {r.doc_id for r in pieces} == set(kept)
+
+
+def test_run(spark, odd, empty):
+    docs = common.table(spark, odd, "documents", *corpus_pipeline.COLUMNS)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = common.stored(stage(spark, docs, odd))
+    assert sorted(map(str, rows(corpus_pipeline.run(spark, odd)))) == sorted(map(str, rows(docs)))
+    assert rows(corpus_pipeline.run(spark, empty)) == []
