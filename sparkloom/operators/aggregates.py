@@ -152,9 +152,8 @@ class Group:
         found = F.min(x) if least else F.max(x)
         if isinstance(s.kind, FLOATS):  # Spark takes zeros as equal: -0 is the lesser
             negative = F.when(x == 0, x.cast("string").startswith("-"))
-            zero = F.lit(0.0).cast(s.kind)
-            minus = F.lit(-0.0).cast(s.kind)
-            found = F.when(found == 0, F.when(F.max(negative) if least else F.min(negative), minus).otherwise(zero)).otherwise(found)
+            # not two literals: the optimiser takes 0 and -0 for one
+            found = F.when(found == 0, F.when(F.max(negative) if least else F.min(negative), -F.abs(found)).otherwise(F.abs(found))).otherwise(found)
         elif isinstance(s.kind, (T.ArrayType, T.MapType, T.VariantType)):
             raise SchemaError(f"{s.name}: {s.kind.simpleString()} has no order")
         return self._named(("min" if least else "max", s.name), s.kind, found)
@@ -436,4 +435,4 @@ def growth(df: DataFrame, keys: list[str], e: Column, v: Column, valid: Column,
     joint = F.when(end.isNull(), None).when(start >= end, start.cast(exact) - end.cast(exact)).otherwise(start.cast(exact))
     zero = F.lit(0).cast(exact)
     joined = cuts.withColumn("__joint", joint)
-    return joined.groupBy(*keys).agg((F.coalesce(F.sum("__sum"), zero) + F.coalesce(F.sum("__joint"), zero)).cast(kind).alias(out))
+    return joined.groupBy(*keys).agg(F.when(F.count("*") > 0, (F.coalesce(F.sum("__sum"), zero) + F.coalesce(F.sum("__joint"), zero)).cast(kind)).alias(out))

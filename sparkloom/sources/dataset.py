@@ -18,6 +18,7 @@ import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, dataclass, field, replace
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ LOG, DATA, MARKS = "_log", "data", "marks"
 #: Versions from one whole list of objects to the next, commits tried, text kept in summaries.
 CHECKPOINT, ATTEMPTS, TEXT = 16, 20, 64
 SUMMARIZED = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, *FLOATS, T.DecimalType, T.DateType, T.TimestampType, T.TimestampNTZType, T.StringType, T.BooleanType)
+#: Spark's name of a null partition value.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 APPLIED, ALREADY_THERE, ABANDONED = "Applied", "AlreadyThere", "Abandoned"
 
 
@@ -269,7 +272,8 @@ class Dataset:
             added, removed, head = decided
             version = state.version + 1
             objects = {k: o for k, o in state.objects.items() if k not in set(removed)} | {o.key: o for o in added}
-            new = replace(state, version=version, objects=objects, sources=state.sources | {r.source: r.stop for r in sources}, last_data_change=version if data else state.last_data_change, **head)
+            offsets = head.pop("sources", state.sources) | {r.source: r.stop for r in sources}
+            new = replace(state, version=version, objects=objects, sources=offsets, last_data_change=version if data else state.last_data_change, **head)
             if self.store.put_if_absent(_name(version), self._text(new, what, added, removed)):
                 if version % CHECKPOINT == 0:
                     self.store.put(f"{LOG}/checkpoint-{version:020d}.json", json.dumps([asdict(o) for o in objects.values()]))
@@ -336,7 +340,8 @@ class Dataset:
                 if isinstance(kind, T.TimestampType) and least is not None:
                     least, most = (x.astimezone(dt.UTC) for x in (least, most))
                 summaries[i] = [told(least), told(most), r[f"n{i}"]]
-            partition = r.key.split("/__p=")[1].split("/")[0] if parted and "/__p=" in r.key else None
+            partition = unquote(r.key.split("/__p=")[1].split("/")[0]) if parted and "/__p=" in r.key else None
+            partition = None if partition == NO_VALUE else partition
             out.append(Object(r.key, r.rows, r["size"], level, partition, summaries, imported))
         return sorted(out, key=lambda o: o.key)
 

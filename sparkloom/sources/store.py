@@ -51,8 +51,9 @@ class Store:
         """Writes the file whole, or not at all when another writer was first."""
         if self.exists(name):
             return False
-        temporary = f"{os.path.dirname(name)}/.{uuid.uuid4().hex}"
+        temporary = f"_incoming/{uuid.uuid4().hex}"  # apart from what others list
         self._write(temporary, text)
+        self._fs.mkdirs(self._path(os.path.dirname(name)))
         try:
             if self.root.startswith("file:"):
                 os.link(bare(self.path(temporary)), bare(self.path(name)))
