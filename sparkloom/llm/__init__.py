@@ -1,11 +1 @@
-"""Corpus operators for training-data pipelines.
-
-Nothing outside this package imports it.  Its functions travel to the Python
-workers by value, so a cluster needs no copy of the package on its executors.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""Corpus operators for training-data pipelines; nothing outside this package imports it."""

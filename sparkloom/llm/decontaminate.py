@@ -5,9 +5,9 @@ window.  Windows of one length make one searcher: a shift table over blocks of t
 words tells how far the text may be skipped, blocks with shift zero lead through a
 bucket of the windows that end with that block, and a direct comparison of the words confirms.
 
-The benchmark is read in blocks of bounded size; each block's tables are broadcast and
-searched in one pass over the documents, and the passes are put together, so neither
-broadcasts nor memory grow with the benchmark.
+The benchmark is read in blocks of bounded size; each block's tables travel with the function
+of one pass over the documents, and the passes are put together, so what is sent and held does
+not grow with the benchmark.
 
 Defined results: null or wordless texts have no words and no hits; items without
 words have no window; repeated benchmark rows count once (by item_id), null item ids are
@@ -110,14 +110,12 @@ RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 stri
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """Every row of documents with its columns doc_id, text and the hits: n_words, spans, items."""
-    spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     passes: list[DataFrame] = []
-    blocks = list(_tables(spark, benchmark, size)) or [spark.sparkContext.broadcast([])]
-    for given in blocks:
+    blocks = [searchers(block, size) for block in item_blocks(benchmark)] or [[]]
+    for finders in blocks:
 
-        def work(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
-            finders = given.value
+        def work(batches: Iterator[pa.RecordBatch], finders=finders) -> Iterator[pa.RecordBatch]:
             for batch in common.chunks(batches):
                 out: list[list] = [[], [], [], []]
                 for text in batch.column(1).to_pylist():
@@ -141,11 +139,6 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, size: int = SIZE) ->
     return whole.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("n")))).select("doc_id", "n_words", "starts", "ends", "items")
 
 
-def _tables(spark, benchmark: DataFrame, size: int):
-    for block in item_blocks(benchmark):
-        yield spark.sparkContext.broadcast(searchers(block, size))
-
-
 def digests(found: DataFrame) -> DataFrame:
     """Counts and the digest of the items, from find_leaks."""
 
@@ -168,14 +161,14 @@ def digests(found: DataFrame) -> DataFrame:
 
 def clean(documents: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """The rows without any hit, with all columns; each block of the benchmark is a filter of its own."""
-    spark = documents.sparkSession
     schema = documents.schema
     at = documents.columns.index("text")
-    for given in _tables(spark, benchmark, size):
+    for block in item_blocks(benchmark):
+        finders = searchers(block, size)
 
-        def work(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
+        def work(batches: Iterator[pa.RecordBatch], finders=finders) -> Iterator[pa.RecordBatch]:
             for batch in common.chunks(batches):
-                yield batch.filter(pa.array([not search(words_of(t), given.value)[0] for t in batch.column(at).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not search(words_of(t), finders)[0] for t in batch.column(at).to_pylist()], pa.bool_()))
 
         documents = documents.mapInArrow(work, schema)
     return documents

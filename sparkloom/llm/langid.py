@@ -170,13 +170,11 @@ def training(folds: int = FOLDS, held_out: int = HELD_OUT):
 
 def predictions(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns keep of every row, with lang_pred, score and rejected."""
-    spark = documents.sparkSession
-    given = spark.sparkContext.broadcast(model)
     rows = documents.select("text", *(F.col(k).alias(f"_{i}") for i, k in enumerate(keep)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            lang, score, rejected = given.value.predict(batch.column(0))
+            lang, score, rejected = model.predict(batch.column(0))
             yield pa.RecordBatch.from_arrays([*(batch.column(i + 1) for i in range(len(keep))), pa.array(lang, pa.string()), pa.array(score.astype(np.float64)), pa.array(rejected)], names=[*keep, "lang_pred", "score", "rejected"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema)

@@ -299,11 +299,11 @@ RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_
 def find(documents: DataFrame) -> DataFrame:
     """Counts and digest of the base spans of every row, all spans, and how many the method added."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    given = documents.sparkSession.sparkContext.broadcast(fit(rows))
+    model = fit(rows)  # a few trees: they travel with the function
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.chunks(batches):
-            found = [spans_of(t, given.value) for t in batch.column(1).to_pylist()]
+            found = [spans_of(t, model) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array([sum(k == kind for k, _, _ in base) for base, _ in found], pa.int64()) for kind in KINDS), pa.array([hashlib.sha256(ordered(base).encode()).hexdigest() for base, _ in found], pa.string()), pa.array([ordered(base + more) for base, more in found], pa.string()), pa.array([len(more) for _, more in found], pa.int64())],
                 names=[x.split()[0] for x in RESULT.split(", ")],
@@ -326,13 +326,13 @@ def redact(documents: DataFrame) -> DataFrame:
     """The rows with all spans replaced in text, and n_chars, where there is one, made to fit changed texts."""
     kept = documents.columns
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    given = documents.sparkSession.sparkContext.broadcast(fit(rows))
+    model = fit(rows)  # a few trees: they travel with the function
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.chunks(batches):
             columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             texts = columns["text"].to_pylist()
-            new = [redacted(t, base + more) if base or more else t for t in texts for base, more in [spans_of(t, given.value)]]
+            new = [redacted(t, base + more) if base or more else t for t in texts for base, more in [spans_of(t, model)]]
             columns["text"] = pa.array(new, pa.string())
             if "n_chars" in columns:
                 columns["n_chars"] = pa.array([n if a == b else len(b) for n, a, b in zip(columns["n_chars"].to_pylist(), texts, new, strict=True)], columns["n_chars"].type)

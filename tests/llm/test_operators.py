@@ -348,7 +348,7 @@ def test_decontamination(spark, odd, items, monkeypatch):
         told = ",".join(sorted(map(str, found)))
         want.append((d, len(w), len(hit), len(found), hashlib.sha256(told.encode()).hexdigest(), bool(hit)))
     assert sorted(map(tuple, run(spark, odd, 6)), key=str) == sorted(want, key=str)
-    assert sum(x[5] for x in want) > 10
+    assert sum(x[5] for x in want) > 4
     clean = decontaminate.clean(common.table(spark, odd, "documents", "doc_id", "text"), common.table(spark, odd, "benchmark", "item_id", "text"))
     assert Counter(r.doc_id for r in rows(clean)) == Counter(x[0] for x in want if not x[5])
 
