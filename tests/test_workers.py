@@ -1,0 +1,22 @@
+"""Queries run from any folder: the workers have no copy of the package."""
+
+import os
+import subprocess
+import sys
+
+SCRIPT = """
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+import __spark_entry__ as e
+for name in {names!r}:
+    assert e.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+"""
+
+
+def test_from_another_folder(tmp_path):
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", SCRIPT.format(repo=repo, names=["own_aggregator", "row_key_order", "sum_exact"])], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
