@@ -23,7 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
         spark.conf.set(rows, str(BATCH_ROWS))
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a scan dealt among all cores, where its files give fewer tasks than there are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def width(spark: SparkSession) -> int:
