@@ -21,6 +21,24 @@ READS = {
 }
 
 
+#: Readers of values beyond the paths' own: no conversion, another class is null.
+VALUES = {"decimal": ("DECIMAL", "decimal(38,18)"), "binary": ("BINARY", "binary"), "date": ("DATE", "date"), "local_timestamp": ("TIMESTAMP_NTZ", "timestamp_ntz"), "bool": ("BOOLEAN", "boolean")}
+
+
+def from_json(text: Column) -> Column:
+    """A variant of JSON text; null where the text is none."""
+    return F.try_parse_json(text)
+
+
+def to_json(value: Column) -> Column:
+    return F.to_json(value)
+
+
+def build(value: Column) -> Column:
+    """A variant of a struct, map or list of columns; of anything else, of the value itself."""
+    return F.to_variant_object(value)
+
+
 def path_text(steps: tuple) -> str:
     out = "$"
     for s in steps:
@@ -96,6 +114,12 @@ class Path:
     def to_double(self) -> Sym:
         return self.read("ToDouble")
 
+    def value_as(self, name: str) -> Sym:
+        """A value of a class without a read of its own: decimal, binary, date, local_timestamp, bool."""
+        only, kind = VALUES[name]
+        column = F.when(F.schema_of_variant(self.value).startswith(only), F.try_variant_get(self.root.column, path_text(self.steps), kind))
+        return _Read(f"{self.text}.{name}", {"decimal": T.DecimalType(38, 18), "binary": T.BinaryType(), "date": T.DateType(), "local_timestamp": T.TimestampNTZType(), "bool": T.BooleanType()}[name], column, columns=self.root.columns)
+
     def exists(self) -> Predicate:
         """Never unknown; a JSON null exists."""
         return Predicate(F.coalesce(self.value.isNotNull(), F.lit(False)), f"{self.text} exists", self.root.columns)

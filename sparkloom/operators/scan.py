@@ -7,6 +7,7 @@ the order that it is told.  Scans may be used again: each step gives a new one.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -166,6 +167,13 @@ class Scan:
         tie = self._row_order(descending) if self._order else []
         return self._with(self._df.orderBy(key, *tie), how="ordered")
 
+    def in_order(self, *columns, descending: bool = False) -> Scan:
+        """Rows by several columns, such as the leading ones of a dataset's sort key; nulls last either way."""
+        if self._how in ("rows", "rows_at"):
+            raise QueryError("an order and a choice of rows do not go together")
+        keys = [s.column.desc_nulls_last() if descending else s.column.asc_nulls_last() for s in map(self._symbol, columns)]
+        return self._with(self._df.orderBy(*keys, *(self._row_order(descending) if self._order else [])), how="ordered")
+
     def take(self, n: int) -> Scan:
         df = self._df if self._how == "ordered" or not self._order else self._df.orderBy(*self._row_order())
         return self._with(df.limit(n), how="ordered")
@@ -310,6 +318,17 @@ class Scan:
         return self.df.observe(seen, F.count("*").alias("rows")), seen
 
 
+@contextmanager
+def cancellable(spark: SparkSession, name: str):
+    """Jobs started inside belong to a group; the function given cancels them, from any thread."""
+    context = spark.sparkContext
+    context.setJobGroup(name, name, interruptOnCancel=True)
+    try:
+        yield lambda: context.cancelJobGroup(name)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
 def explained(df: DataFrame) -> str:
     return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 

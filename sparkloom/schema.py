@@ -31,6 +31,35 @@ def declared(name: str, kind: str, nullable: bool = True, precision: int | None
     return T.StructField(name, found, nullable, {"declared": kind} if kind in WIDENED else {})
 
 
+EXTENSION = "extension"
+_EXTENSIONS: dict[str, tuple] = {}
+
+
+def register_extension(name: str, storage: T.DataType, read, write) -> None:
+    """A type of one's own over a storage type: read makes a value of a stored one, write a stored one of a value."""
+    if _EXTENSIONS.get(name, (storage,))[0] != storage:
+        raise SchemaError(f"extension {name!r} has another storage type")
+    _EXTENSIONS[name] = storage, read, write
+
+
+def extension(field_name: str, name: str, nullable: bool = True) -> T.StructField:
+    """A field of a registered extension: its storage type, and the extension's name in the field's metadata."""
+    if name not in _EXTENSIONS:
+        raise SchemaError(f"no extension {name!r}")
+    return T.StructField(field_name, _EXTENSIONS[name][0], nullable, {EXTENSION: name})
+
+
+def read_value(field: T.StructField, value):
+    """A stored value as its extension's, nulls and fields without one as they are."""
+    name = field.metadata.get(EXTENSION)
+    return value if value is None or name is None else _EXTENSIONS[name][1](value)
+
+
+def write_value(field: T.StructField, value):
+    name = field.metadata.get(EXTENSION)
+    return value if value is None or name is None else _EXTENSIONS[name][2](value)
+
+
 def resolve(schema: T.StructType, name: str) -> str:
     """The column of that name: exact case first, else the only one equal but for case."""
     names = schema.fieldNames()

@@ -97,6 +97,17 @@ def _parents(name: str) -> list[str]:
     return ["/".join(parts[:i]) for i in range(1, len(parts))]
 
 
+def erase(dataset: Dataset, where, older_than_s: float = 0.0) -> Commit:
+    """Deletes rows for good: files that hold them are written anew, marks included, and old versions' files go once past the delay."""
+    done = dataset.delete(where)
+    marked = [o for o in dataset.objects() if o.marked]
+    if marked:
+        made = dataset._write(dataset._read(marked), max(o.level for o in marked), files=len(marked))
+        _swap(dataset, "erase", marked, [o.key for o in marked], made)
+    vacuum(dataset, keep_versions=1, older_than_s=older_than_s)
+    return done
+
+
 def verify(dataset: Dataset) -> DataFrame:
     """Findings: objects that are missing, of another size or row count, of several partition values, or unsorted."""
     spark = dataset.spark

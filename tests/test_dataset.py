@@ -235,3 +235,12 @@ def test_files(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2000
     with pytest.raises(SchemaError):
         files.write(df, path, codec="lzma")
+
+
+def test_erased_rows_leave_the_disk(spark, root):
+    dataset = Dataset.create(spark, root, SCHEMA)
+    dataset.append(spark.createDataFrame([(i, f"secret{i}", None, None) for i in range(20)], SCHEMA).coalesce(2))
+    dataset.delete(lambda r: r.key == 3, mark=True)
+    maintenance.erase(dataset, lambda r: r.key == 4)
+    left = {r[1] for r in spark.read.option("recursiveFileLookup", "true").parquet(root + "/data").collect()}
+    assert left == {f"secret{i}" for i in range(20) if i not in (3, 4)} == {r[1] for r in rows(dataset)}

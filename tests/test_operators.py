@@ -292,3 +292,51 @@ def test_edge_sizes(spark):
         scan = Scan.of(spark.range(n).select("id", F.when(F.col("id") % 2 == 0, F.col("id")).alias("v")), ["id"])
         r = scan.aggregate(lambda g: {"n": g.count(), "s": g.sum("v"), "lo": g.min("v"), "any": g.any(lambda r: r.v >= 0), "all": g.all(lambda r: r.id >= 0)}).first()
         assert tuple(r) == (n, sum(range(0, n, 2)), 0 if n else None, n > 0, True)
+
+
+def test_orders_of_several_columns(scan):
+    got = [(r.e, r.k, r.id) for r in scan.in_order("e", "k").take(30).df.collect()]
+    want = sorted(((p[2], p[1], p[0]) for p in points()), key=lambda r: (r[0], r[1] is None, r[1] or "", r[2]))[:30]
+    assert got == want
+
+
+def test_extensions():
+    import uuid
+
+    schemas.register_extension("order", T.StringType(), uuid.UUID, str)
+    field = schemas.extension("id", "order")
+    value = uuid.uuid4()
+    assert schemas.read_value(field, schemas.write_value(field, value)) == value and schemas.read_value(field, None) is None
+    with pytest.raises(SchemaError):
+        schemas.extension("x", "nothing")
+
+
+def test_cancelled_jobs_end(spark):
+    import threading
+    import time
+
+    from sparkloom.operators.scan import cancellable
+
+    with cancellable(spark, "slow") as cancel:
+        threading.Timer(3, cancel).start()
+        began = time.time()
+        with pytest.raises(Exception, match="(?i)cancel"):
+            spark.range(0, 10**15, 1, 4).selectExpr("sum(hash(id) % 7) AS s").collect()
+        assert time.time() - began < 60
+
+
+def test_variant_values(spark):
+    from sparkloom.functions import variant
+
+    df = spark.sql("SELECT parse_json('{\"a\": 1.25, \"b\": true, \"c\": \"x\"}') AS v UNION ALL SELECT CAST(NULL AS VARIANT)")
+    scan = Scan.of(df)
+    got = [tuple(r) for r in scan.select(a=lambda r: r.v["a"].value_as("decimal"), b=lambda r: r.v["b"].as_bool(), c=lambda r: r.v["c"].value_as("decimal"), d=lambda r: r.v["a"].as_double()).df.collect()]
+    assert [tuple(None if v is None else float(v) for v in r) for r in got] == [(1.25, 1.0, None, 1.25), (None,) * 4]
+    built = spark.range(1).select(variant.to_json(variant.build(F.struct(F.lit(1).alias("k")))).alias("j"), variant.from_json(F.lit("{")).alias("n")).first()
+    assert built.j == '{"k":1}' and built.n is None
+
+
+def test_observed_and_explained(scan):
+    df, seen = scan.where(lambda r: r.e < 10).observed()
+    n = len(df.collect())
+    assert seen.get["rows"] == n and "Filter" in scan.where("e < 10").explain() and scan.cost() >= 0
