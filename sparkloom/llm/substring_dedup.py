@@ -264,11 +264,24 @@ def covered(data: np.ndarray, offsets: np.ndarray, blobs: list[list[bytes]], siz
     return np.cumsum(cover)[:-1] > 0, row
 
 
+def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (doc, crc, text, none): the text as compressed bytes, for a shuffle of half the size."""
+    compressor = zstandard.ZstdCompressor(level=3)
+    for batch in common.chunks(batches):
+        small = [compressor.compress((t or "").encode()) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(small, pa.binary())], names=["doc", "crc", "none", "words"])
+
+
+def flat_bytes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64)
+
+
 def remove_repeats(documents: DataFrame, size: int = WINDOW, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept: the words that stay joined by one space (digest: their SHA-256 in hex as kept_sha256)."""
     spark = documents.sparkSession
     buckets = BUCKETS * common.width(spark)
     rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc"), "text", F.col("doc_id").isNull().alias("none"))
+    sent = rows.mapInArrow(squeezed, "doc long, crc long, none boolean, words binary")
     mapped = rows.select("doc", "crc", "text").mapInArrow(lambda b: settled(b, size, buckets), MAPPED)
     flags = mapped.repartition(common.width(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(verified, FLAGGED)
     flags = flags.groupBy("doc", "crc").agg(F.collect_list("blob").alias("blobs"))
@@ -276,22 +289,24 @@ def remove_repeats(documents: DataFrame, size: int = WINDOW, digest: bool = Fals
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bytes_of, words_of = common.Rolling(), common.Rolling()
-        for batch in common.chunks(batches):
-            texts, blobs = batch.column(2), batch.column(4).to_pylist()
-            words = [(t or "").encode().split() for t in texts.to_pylist()]
+        expand = zstandard.ZstdDecompressor().decompress
+        for batch in common.chunks(batches, "words", common.CHUNK // 2):
+            blobs = batch.column(4).to_pylist()
+            texts = [expand(t) for t in batch.column(3).to_pylist()]
+            words = [t.split() for t in texts]
             kept = list(words)
             some = [i for i, b in enumerate(blobs) if b]
             if some:
-                goes, row = covered(*common.flat(texts.take(pa.array(some))), [blobs[i] for i in some], size, bytes_of, words_of)
+                goes, row = covered(*flat_bytes([texts[i] for i in some]), [blobs[i] for i in some], size, bytes_of, words_of)
                 edge = np.searchsorted(row, np.arange(len(some) + 1))
                 for j, i in enumerate(some):
                     kept[i] = list(compress(words[i], (~goes[edge[j] : edge[j + 1]]).tolist()))
             joined = [b" ".join(k) for k in kept]
             out = [hashlib.sha256(j).hexdigest() for j in joined] if digest else [j.decode() for j in joined]
-            ids = [None if none else d for d, none in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            ids = [None if none else d for d, none in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(w) for w in words], pa.int64()), pa.array([len(w) - len(k) for w, k in zip(words, kept, strict=True)], pa.int64()), pa.array(out, pa.string())], names=["doc_id", "n_words", "n_removed", name])
 
-    return rows.join(flags, ["doc", "crc"], "left").select("doc", "crc", "text", "none", "blobs").mapInArrow(finish, f"doc_id long, n_words long, n_removed long, {name} string")
+    return sent.join(flags, ["doc", "crc"], "left").select("doc", "crc", "none", "words", "blobs").mapInArrow(finish, f"doc_id long, n_words long, n_removed long, {name} string")
 
 
 def op3_substring_dedup(spark, sf_dir):
