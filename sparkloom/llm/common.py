@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,12 +50,16 @@ def fold(doc_id: str, parts: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
+def lengths(texts: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK, sizes: Callable[[pa.Array], np.ndarray] = lengths) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds at most limit bytes of text, or one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        ends = np.cumsum(sizes(batch.column(text)))
         at = 0
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0

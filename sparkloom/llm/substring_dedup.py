@@ -290,7 +290,7 @@ def remove_repeats(documents: DataFrame, size: int = WINDOW, digest: bool = Fals
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bytes_of, words_of = common.Rolling(), common.Rolling()
         expand = zstandard.ZstdDecompressor().decompress
-        for batch in common.chunks(batches, "words", common.CHUNK // 2):
+        for batch in common.chunks(batches, "words", sizes=lambda c: np.array([zstandard.frame_content_size(t) for t in c.to_pylist()], np.int64)):
             blobs = batch.column(4).to_pylist()
             texts = [expand(t) for t in batch.column(3).to_pylist()]
             words = [t.split() for t in texts]
