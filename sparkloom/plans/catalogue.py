@@ -430,10 +430,10 @@ def truncate_tz(spark, sf):
     return table(spark, sf, "events").group_by(t=lambda r: r.ts.truncate("day", "Europe/Paris")).select(lambda g: {"t": g.key, "n": g.count()})
 
 
-@query("SELECT date_trunc('quarter', o_orderdate)::DATE AS t, count(*) AS n FROM orders GROUP BY 1")
+@query("SELECT date_trunc('quarter', o_orderdate)::DATE::VARCHAR AS t, count(*) AS n FROM orders GROUP BY 1")
 def truncate_date(spark, sf):
     df = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderdate").cast("date").alias("d"))
-    return Scan.of(df).group_by(t=lambda r: r.d.truncate("quarter")).select(lambda g: {"t": g.key, "n": g.count()})
+    return Scan.of(df).group_by(t=lambda r: r.d.truncate("quarter")).select(lambda g: {"t": g.key, "n": g.count()}).withColumn("t", F.col("t").cast("string"))
 
 
 @query("SELECT count(*) AS n FROM events WHERE date_trunc('day', ts) = TIMESTAMP '2024-01-05' OR date_trunc('hour', ts) > TIMESTAMP '2024-01-20 10:30:00'")
