@@ -137,6 +137,3 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     return start, end, np.searchsorted(offsets, start, side="right") - 1
 
-
-def lower_ascii(column: Column) -> Column:
-    return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

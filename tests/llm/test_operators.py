@@ -327,15 +327,20 @@ def benchmark_words(t) -> list:
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
 
 
-@pytest.mark.parametrize("items", [2, 20_000])
-def test_decontamination(spark, odd, items, monkeypatch):
-    monkeypatch.setattr(decontaminate, "ITEMS", items)
+def benchmark_windows(folder) -> dict:
     windows = defaultdict(set)
-    for item, text in duckdb.sql(f"SELECT item_id, text FROM '{odd}/benchmark.parquet'").fetchall():
+    for item, text in duckdb.sql(f"SELECT item_id, text FROM '{folder}/benchmark.parquet'").fetchall():
         w = benchmark_words(text)
         n = min(10, len(w))
         for i in range(len(w) - n + 1 if n else 0):
             windows[tuple(w[i : i + n])] |= {item} - {None}
+    return windows
+
+
+@pytest.mark.parametrize("items", [2, 20_000])
+def test_decontamination(spark, odd, items, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEMS", items)
+    windows = benchmark_windows(odd)
     want = []
     for d, t, _ in documents(odd):
         w = benchmark_words(t)
@@ -469,11 +474,10 @@ def test_reduction_keeps_the_optimum():
 # -- 9: near copies ----------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("longest", [1, 64])
-def test_simhash(spark, odd, longest):
-    docs = documents(odd)
+def brute_groups(docs) -> list:
+    """doc_id, fingerprint and component of (doc_id, text, ...) rows."""
     fps = []
-    for _, t, _ in docs:
+    for _, t, *_ in docs:
         w = split(lower(t))
         shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []
         hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
@@ -490,10 +494,15 @@ def test_simhash(spark, odd, longest):
             if (fps[i] ^ fps[j]).bit_count() <= 2:
                 root[find(i)] = find(j)
     ids = defaultdict(list)
-    for i, (d, _, _) in enumerate(docs):
+    for i, (d, *_) in enumerate(docs):
         if d is not None:
             ids[find(i)].append(d)
-    want = sorted(((d, fps[i], min(ids[find(i)], default=None)) for i, (d, _, _) in enumerate(docs)), key=str)
+    return [(d, fps[i], min(ids[find(i)], default=None)) for i, (d, *_) in enumerate(docs)]
+
+
+@pytest.mark.parametrize("longest", [1, 64])
+def test_simhash(spark, odd, longest):
+    want = sorted(brute_groups(documents(odd)), key=str)
     found = simhash.groups(common.table(spark, odd, "documents", "doc_id", "text"), longest=longest)
     assert sorted(((r.doc_id, r.fp % (1 << 64), r.component_id) for r in rows(found)), key=str) == want
     if longest == 64:
@@ -537,23 +546,33 @@ def test_topk(spark, odd, block, monkeypatch):
 
 
 def test_stages(spark, odd):
+    """Each stage on what its predecessor left, against brute force where the stage is not trained."""
     docs = common.table(spark, odd, "documents", *corpus_pipeline.COLUMNS)
-    before = rows(docs)
+    left = [rows(docs)]
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, odd)
         if i < len(corpus_pipeline.STAGES) - 1:
             assert out.columns == list(corpus_pipeline.COLUMNS), name
             docs = common.stored(out)
-            after = rows(docs)
-            assert after and len(after) <= len(before)
-            before = after
-    kept = {r.doc_id: r.text for r in before}
-    assert 200 not in kept and 203 not in kept  # no language
-    assert not any(100 + i in kept for i in range(12))  # copies
-    assert 8 not in kept and 9 not in kept  # benchmark passages
-    assert "[EMAIL]" in kept[210]
-    pieces = rows(out)
-    assert {r.doc_id for r in pieces} == set(kept)
+            left.append(rows(docs))
+    named = [{r.doc_id: r for r in part if r.doc_id is not None} for part in left]
+    assert {200, 201, 202, 203}.isdisjoint(named[1]) and set(named[0]) - set(named[1]) <= {200, 201, 202, 203}
+    first = {d for d, _, c in brute_groups([(r.doc_id, r.text) for r in left[1]]) if d is not None and d == c}
+    assert set(named[2]) == first and len(left[2]) == len({r.doc_id if r.doc_id is not None else r.text for r in left[2]})
+    windows = benchmark_windows(odd)
+    sizes = {len(k) for k in windows}
+
+    def leaks(text):
+        w = benchmark_words(text)
+        return any(tuple(w[i : i + n]) in windows for n in sizes for i in range(len(w) - n + 1))
+
+    assert left[3] and sorted(map(str, left[3])) == sorted(str(r) for r in left[2] if not leaks(r.text))
+    for d, r in named[4].items():
+        before = named[3][d]
+        assert not brute_spans(r.text) and r.n_chars == len(r.text)
+        if not any(c in before.text for c in "0123456789@"):
+            assert r == before
+    assert "[EMAIL]" in named[4][210].text and {r.doc_id for r in rows(out)} == {r.doc_id for r in left[4]}
 
 
 def test_run(spark, odd, empty):
