@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from ..errors import IntegrityError, UnsupportedError
 from ..functions.predicates import FLOATS, INTS, Sym
-from ..operators.aggregates import bounds, bucket_of, grid
+from ..operators.aggregates import bucket_of, grid
 from ..operators.scan import FILE, Scan
 
 #: Aggregates whose states answer them whole.
@@ -191,7 +191,3 @@ class Partial:
             frames.append(spark.createDataFrame(pa.ipc.open_stream(part()).read_all(), schema))
         return Partial(question, kinds, frames[0], frames[1] if more else None)
 
-
-def middle(bucket: Column, error: float) -> Column:
-    low, high = bounds(bucket, grid(error))
-    return (low + high) / 2
