@@ -33,6 +33,7 @@ class Plan:
     df: DataFrame
     keys: list[Column]
     order: list[Column]
+    placed: DataFrame  # df with the columns that order its rows, taken when a result asks for them
     plain: dict[str, Column] = field(default_factory=dict)
     frames: dict[str, Callable[[DataFrame, list[str]], DataFrame]] = field(default_factory=dict)
     states: dict[str, tuple] = field(default_factory=dict)
@@ -254,6 +255,7 @@ class Chosen:
         order = g._plan.order
         if not order:
             raise QueryError("a chosen row needs an order of rows: scan a file, or name the order")
+        g._plan.df = g._plan.placed
         at = F.struct(*order)
         valid = g._kept.column if g._kept is not None else F.lit(True)
         if by is not None:

@@ -25,16 +25,19 @@ MOST_VALUES = 1 << 20
 
 
 class Scan:
-    def __init__(self, df: DataFrame, order: Iterable[str] = (), filtered: tuple[Predicate, ...] = (), how: str = "") -> None:
+    def __init__(self, df: DataFrame, order: Iterable[str] = (), filtered: tuple[Predicate, ...] = (), how: str = "", lean: DataFrame | None = None) -> None:
         self._df, self._order, self._filtered, self._how = df, tuple(order), filtered, how
+        #: The same rows without the columns that order them, for answers that ask for no order: files need not tell their rows' places
+        self._lean = df if lean is None else lean
 
     # -- sources -------------------------------------------------------------------------
 
     @staticmethod
     def parquet(spark: SparkSession, *paths: str, record: T.StructType | None = None, columns: Iterable[str] = ()) -> Scan:
         """Parquet files; record binds their columns by name, columns names some (none: all) in file order."""
-        df = spark.read.parquet(*paths).select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
-        return Scan(df, (FILE, ROW))._narrow(record, columns)
+        read = spark.read.parquet(*paths)
+        df = read.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
+        return Scan(df, (FILE, ROW), lean=read)._narrow(record, columns)
 
     @staticmethod
     def of(df: DataFrame, order: Iterable[str] = (), record: T.StructType | None = None, columns: Iterable[str] = ()) -> Scan:
@@ -54,7 +57,8 @@ class Scan:
             own = [F.col(o).alias(f"__o{k + 1}") for k, o in enumerate(s._order)] if ordered else []
             parts.append(s._df.select(*(F.col(f"`{c}`") for c in s.columns), F.lit(i).alias("__o0"), *own))
         df = reduce(DataFrame.unionByName, parts)
-        return Scan(df, [f"__o{k}" for k in range(len(scans[0]._order) + 1)] if ordered else ())
+        lean = reduce(DataFrame.unionByName, (s.df for s in scans))
+        return Scan(df, [f"__o{k}" for k in range(len(scans[0]._order) + 1)] if ordered else (), lean=lean)
 
     def _narrow(self, record: T.StructType | None, columns: Iterable[str]) -> Scan:
         hidden = [F.col(o) for o in self._order]
@@ -62,7 +66,7 @@ class Scan:
             bound = schemas.bind(self._df, T.StructType([*record]), trust_nullable=True)
             names = {f.name: f for f in bound.schema}
             picked = [F.col(f"`{schemas.resolve(self._df.schema, f.name)}`").cast(f.dataType).alias(f.name, metadata=names[f.name].metadata) for f in record]
-            return Scan(self._df.select(*picked, *hidden), self._order, self._filtered)
+            return Scan(self._df.select(*picked, *hidden), self._order, self._filtered, lean=self._lean.select(*picked))
         wanted = list(columns)
         if not wanted:
             return self
@@ -70,7 +74,8 @@ class Scan:
             schemas.field_at(self.schema, c)
         places = {name: i for i, name in enumerate(self.columns)}
         wanted.sort(key=lambda c: places.get(c, places.get(c.split(".")[0], 0)))
-        return Scan(self._df.select(*(quoted(c).alias(c) if c not in places else F.col(f"`{c}`") for c in wanted), *hidden), self._order, self._filtered)
+        picked = [quoted(c).alias(c) if c not in places else F.col(f"`{c}`") for c in wanted]
+        return Scan(self._df.select(*picked, *hidden), self._order, self._filtered, lean=self._lean.select(*picked))
 
     # -- shape ---------------------------------------------------------------------------
 
@@ -93,10 +98,10 @@ class Scan:
     @property
     def df(self) -> DataFrame:
         """The rows as a DataFrame."""
-        return self._df.select(*(F.col(f"`{c}`") for c in self.columns))
+        return self._lean.select(*(F.col(f"`{c}`") for c in self.columns))
 
-    def _with(self, df: DataFrame, order=None, more: tuple = (), how: str | None = None) -> Scan:
-        return Scan(df, self._order if order is None else order, self._filtered + more, self._how if how is None else how)
+    def _with(self, df: DataFrame, lean: DataFrame | None = None, more: tuple = (), how: str | None = None) -> Scan:
+        return Scan(df, self._order, self._filtered + more, self._how if how is None else how, lean)
 
     def _row_order(self, back: bool = False) -> list[Column]:
         if not self._order:
@@ -121,7 +126,7 @@ class Scan:
     def where(self, question, *parameters) -> Scan:
         """Rows where it is true: a function of the fields, a predicate, or text with ?N for parameters."""
         p = self._predicate(question, parameters)
-        return self._with(self._df.where(p.column), more=(p,))
+        return self._with(self._df.where(p.column), self._lean.where(p.column), more=(p,))
 
     def rows(self, start: int, stop: int) -> Scan:
         """Rows from start to before stop, in row order, clipped to what there is."""
@@ -191,7 +196,8 @@ class Scan:
     def select(self, *columns, **named) -> Scan:
         """Columns, or functions of them, as a new scan in the same row order."""
         picked = [(s.name, s) for s in map(self._symbol, columns)] + [(n, self._symbol(c)) for n, c in named.items()]
-        return self._with(self._df.select(*(s.column.alias(n) for n, s in picked), *(F.col(o) for o in self._order)))
+        columns = [s.column.alias(n) for n, s in picked]
+        return self._with(self._df.select(*columns, *(F.col(o) for o in self._order)), self._lean.select(*columns))
 
     def distinct(self) -> Scan:
         """Distinct rows: NaNs are one value, and both zeros."""
@@ -223,16 +229,16 @@ class Scan:
         on = reduce(lambda a, b: a & b, (s.column == F.col(n) for s, n in zip(symbols, names, strict=True)))
         if negated:
             known = reduce(lambda a, b: a & b, (s.column.isNotNull() for s in symbols))
-            return self._with(self._df.where(known).join(values, on, "left_anti"))
-        return self._with(self._df.join(values, on, "left_semi"))
+            return self._with(self._df.where(known).join(values, on, "left_anti"), self._lean.where(known).join(values, on, "left_anti"))
+        return self._with(self._df.join(values, on, "left_semi"), self._lean.join(values, on, "left_semi"))
 
     # -- answers -------------------------------------------------------------------------
 
     def count(self) -> int:
-        return self._df.count()
+        return self._lean.count()
 
     def any(self) -> bool:
-        return not self._df.isEmpty()
+        return not self._lean.isEmpty()
 
     def _one(self, ask: Callable[[Group], Result]):
         return self.aggregate(lambda g: {"x": ask(g)}).first()["x"]
@@ -273,7 +279,7 @@ class Scan:
         x = F.when(~F.isnan(s.column), s.column) if isinstance(s.kind, FLOATS) else s.column
         parts = grid(error)
         low, high = bounds(F.col("bucket"), parts)
-        return histogram(self._df, [], x.cast("double"), parts).select(low.alias("lower"), high.alias("upper"), "n")
+        return histogram(self._lean, [], x.cast("double"), parts).select(low.alias("lower"), high.alias("upper"), "n")
 
     def paths(self, column: str) -> DataFrame:
         from ..functions.variant import paths
@@ -399,7 +405,7 @@ class GroupedScan:
 
     def _group(self) -> Group:
         scan = self._scan
-        plan = Plan(scan._df, [s.column for _, s in self._keys], [F.col(o) for o in scan._order])
+        plan = Plan(scan._lean, [s.column for _, s in self._keys], [F.col(o) for o in scan._order], scan._df)
         symbols = []
         for i, (_, s) in enumerate(self._keys):
             key = Sym(f"__k{i}", s.kind, F.col(f"__k{i}"), columns=frozenset({f"__k{i}"}))

@@ -36,7 +36,7 @@ class Aggregator(Protocol):
 def aggregate(scan: Scan, keys: dict[str, object], column, aggregator: Aggregator, kind: T.DataType, name: str = "value") -> DataFrame:
     """The aggregator's answer by key."""
     s = scan._symbol(column)
-    picked = scan._df.select(*(scan._symbol(k).column.alias(n) for n, k in keys.items()), s.column.alias("__x"))
+    picked = scan._lean.select(*(scan._symbol(k).column.alias(n) for n, k in keys.items()), s.column.alias("__x"))
     key_fields = list(picked.schema)[:-1]
     state_schema = T.StructType([*key_fields, T.StructField("__state", T.BinaryType())])
     n = len(key_fields)

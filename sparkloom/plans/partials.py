@@ -60,7 +60,7 @@ class Question:
     def states(self, scan: Scan) -> tuple[DataFrame, DataFrame | None]:
         """One row of states a group, and the buckets of its quantiles."""
         symbols = self._symbols(scan)
-        keyed = scan._df.withColumns({n: scan._symbol(k).column for n, k in self.keys.items()})
+        keyed = scan._lean.withColumns({n: scan._symbol(k).column for n, k in self.keys.items()})
         columns: list[Column] = [F.count("*").alias("__n")]
         buckets = []
         for m in self.measures:
@@ -131,7 +131,7 @@ class Question:
             rows, own = min(bins, key=lambda b: b[0])
             bins.remove((rows, own))
             bins.append((rows + r["count"], [*own, r[FILE]]))
-        return [Scan(scan._df.where(F.col(FILE).isin(own)), scan._order, scan._filtered) for _, own in bins]
+        return [Scan(scan._df.where(F.col(FILE).isin(own)), scan._order, scan._filtered) for _, own in bins]  # by file: these need the places
 
     def partial(self, scan: Scan) -> Partial:
         states, buckets = self.states(scan)

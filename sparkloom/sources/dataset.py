@@ -188,7 +188,7 @@ class Dataset:
         """The version's rows.  A filter given here is also held against the objects' summaries, unless pruned is off: the answer is the same."""
         predicate = self._asked(where) if where is not None else None
         objects = [o for o in self.objects() if predicate is None or not pruned or predicate.outcomes(self._summaries(o))[0]]
-        scan = Scan(self._read(objects), (FILE, ROW))
+        scan = Scan(self._read(objects), (FILE, ROW), lean=None if any(o.marks for o in objects) else self._read(objects, places=False))
         scan = scan.where(predicate) if predicate is not None else scan
         return scan._narrow(None, columns)
 
@@ -218,11 +218,13 @@ class Dataset:
                 out[name] = None, None, o.rows, o.rows  # the field came after the object: all null
         return out
 
-    def _read(self, objects: list[Object]) -> DataFrame:
+    def _read(self, objects: list[Object], places: bool = True) -> DataFrame:
+        """The objects' rows, with the places where they lie."""
         fields = [(f["id"], T.StructField.fromJson(f["field"])) for f in self._state.fields]
         if not objects:
-            empty = T.StructType([*(T.StructField(f.name, f.dataType, True, f.metadata) for _, f in fields), T.StructField(FILE, T.StringType()), T.StructField(ROW, T.LongType())])
+            empty = T.StructType([*(T.StructField(f.name, f.dataType, True, f.metadata) for _, f in fields), *([T.StructField(FILE, T.StringType()), T.StructField(ROW, T.LongType())] if places else [])])
             return self.spark.createDataFrame([], empty)
+        where = [F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW)] if places else []
         kinds: dict[str, list[Object]] = {}
         for o in objects:
             kinds.setdefault(json.dumps(o.names, sort_keys=True), []).append(o)
@@ -232,7 +234,7 @@ class Dataset:
             stored = [(named.get(str(i)) if named is not None else f"f{i}", f) for i, f in fields]
             physical = T.StructType([T.StructField(n, f.dataType) for n, f in stored if n])
             df = self.spark.read.schema(physical).parquet(*(self.store.path(o.key) for o in own))
-            df = df.select(*((F.col(f"`{n}`") if n else F.lit(None).cast(f.dataType)).alias(f.name, metadata=f.metadata) for n, f in stored), F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
+            df = df.select(*((F.col(f"`{n}`") if n else F.lit(None).cast(f.dataType)).alias(f.name, metadata=f.metadata) for n, f in stored), *where)
             parts.append(df)
         df = parts[0]
         for more in parts[1:]:
