@@ -12,8 +12,8 @@ and cutoffs) does not grow with the table.
 
 Defined results: rows with a null id, a null vector, or a null or non-finite component take no part;
 vectors of different lengths are compared over their common leading components; rows that carry the query's
-own id are not candidates; equal scores rank by the smaller id; repeated rows count
-each; a score outside the range of a long is held at the nearest long; empty tables
+own id are not candidates; of several query rows with one id the smallest vector asks; equal scores rank by the
+smaller id; repeated rows count each; a score outside the range of a long is held at the nearest long; empty tables
 give an empty result; other columns are not read.
 """
 
@@ -131,6 +131,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     spark = vectors.sparkSession
     vectors = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     queries = queries.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    queries = queries.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite).groupBy("vec_id").agg(F.min("v").alias("v"))
     found: list[DataFrame] = []
     held: list = []
 

@@ -228,7 +228,7 @@ def test_toxicity_learns_and_holds_out(spark, odd):
 
 
 def test_toxicity_on_driver_data(spark):
-    folder = "/root/testdata/sf0.01"
+    folder = "/root/testdata/sf0.1"
     got = {r.doc_id: r for r in run(spark, folder, 4)}
     labels = duckdb.sql(f"SELECT doc_id, toxic FROM '{folder}/labels.parquet'").fetchall()
     held = [(got[d].score, y) for d, y in labels if got[d].held_out]
@@ -243,10 +243,13 @@ def test_label_model_weighs_voters():
     good = np.where(rng.random(2000) < 0.95, truth, ~truth)
     poor = np.where(rng.random(2000) < 0.55, truth, ~truth)
     cast = np.where(np.column_stack([good, poor, poor]), 1, -1)
-    gold = np.where(rng.random(2000) < 0.9, truth, ~truth)
-    post, accuracy, corr = toxicity.label_model(cast, gold)
-    assert accuracy[0] > accuracy[1] and corr[1, 2] > 0.9 > corr[0, 1]
-    assert ((post > 0.5) == truth).mean() > 0.93
+    gold = np.where(rng.random(2000) < toxicity.GIVEN, truth, ~truth)
+    _, accuracy, corr = toxicity.label_model(cast, gold)
+    assert accuracy[0] > 0.9 > 0.6 > accuracy[1] and corr[1, 2] > 0.9 > 0.1 > corr[0, 1]
+    many = np.where(np.where(rng.random((2000, 8)) < 0.95, truth[:, None], ~truth[:, None]), 1, -1)
+    wrong = np.where(rng.random(2000) < 0.9, truth, ~truth)
+    post, _, _ = toxicity.label_model(many, wrong)  # many independent voters overrule a wrong label
+    assert ((post > 0.5) == truth).mean() > 0.98 > (wrong == truth).mean()
 
 
 # -- 5: language model -----------------------------------------------------------------------------------
@@ -534,7 +537,7 @@ def test_topk(spark, odd, block, monkeypatch):
     for i, e in duckdb.sql(f"SELECT vec_id, embedding FROM '{odd}/embeddings.parquet'").fetchall():
         if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e):
             vectors.append((i, [math.floor(1024 * x) for x in e]))
-    queries_ = {i: e for i, e in reversed(vectors) if i % 100 == 0}
+    queries_ = {i: e for i, e in sorted(vectors, reverse=True) if i % 100 == 0}  # of several the smallest vector asks
     want = []
     for q, e in queries_.items():
         scored = sorted(((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(e, f)))), i) for i, f in vectors if i != q))[:10]  # noqa: B905
