@@ -21,7 +21,7 @@ has a null id); empty tables give an empty result; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -145,12 +145,21 @@ def one_of_each(documents: DataFrame, size: int = SHINGLE, seed: int = SEED) ->
     """One row of each group, with all columns: that of the smallest doc_id (a null id comes after all, told apart by its text).
 
     Rows of one doc_id are one document; one of them stays."""
+    return first_of_each(documents, lambda keyed: groups(keyed, size, seed))
+
+
+def first_of_each(documents: DataFrame, grouped: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """one_of_each by any grouping of (doc_id, text) rows into doc_id, component_id."""
     kept = documents.columns
     unnamed = F.lit(1 << 62).cast("long") + F.shiftrightunsigned(F.xxhash64("text"), 2)
     keyed = documents.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), unnamed))
-    found = groups(keyed.select(F.col("_key").alias("doc_id"), "text"), size, seed)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(*kept)
+    found = grouped(keyed.select(F.col("_key").alias("doc_id"), "text"))
+    gone = found.groupBy(F.col("doc_id").alias("_key")).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first")).where(~F.col("first")).select("_key")
+    # only rows of a repeated id are sorted for one of them, and few ids are gone: whole texts are too large to sort all
+    gone = common.stored(gone)
+    again = common.stored(keyed.groupBy("_key").count().where("count > 1").select("_key").join(gone, "_key", "left_anti"))
+    single = keyed.join(gone.unionByName(again), "_key", "left_anti")
+    return single.unionByName(keyed.join(again, "_key", "left_semi").dropDuplicates(["_key"])).select(*kept)
 
 
 def op9_simhash_groups(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -12,7 +13,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from sparkloom.llm import common, ctw, decontaminate, langid, packing, pii, queries, simhash, substring_dedup, topk_search, toxicity, url_filter
+from sparkloom.llm import common, ctw, decontaminate, langid, near_copies, packing, pii, queries, simhash, substring_dedup, topk_search, toxicity, url_filter
 
 OPS = {re.match(r"op(\d+)", name)[1]: name for name in queries.QUERIES}
 
@@ -527,6 +528,61 @@ def test_one_of_each(spark, odd):
     assert ids[5] == 1 and not any(ids[100 + i] for i in range(12)) and ids[209] == 0 and ids[9] == 1 and ids[None] == 1
 
 
+def brute_near(docs) -> dict:
+    """By doc_id the smallest doc_id linked to it by five-word Jaccard similarities of 0.8 or more."""
+    sets = {}
+    for d, t in docs:
+        w = split(lower(t))
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    by = defaultdict(list)
+    for d, s in sets.items():
+        for k in s or {()}:
+            by[k].append(d)
+    for a, b in {(a, b) for ds in by.values() for a in ds for b in ds if a < b}:
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {d: find(d) for d in sets}
+
+
+def test_near_copies(spark):
+    """Edits of many bits, chains, a large group, texts that share less, short and empty ones."""
+    rng = random.Random(3)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(120)] for _ in range(12)]
+    docs = [(i, " ".join(b)) for i, b in enumerate(base)]
+    for i, b in enumerate(base):
+        for n in (1, 2, 3, 4, 6):
+            c = list(b)
+            for at in rng.sample(range(len(c)), n):
+                c[at] = f"x{rng.randrange(10**6)}"
+            docs.append((100 + 10 * i + n, " ".join(c)))
+    chain = list(base[0])
+    for i in range(40):  # each one near the last, the ends far apart
+        chain[3 * i] = f"y{i}"
+        docs.append((1000 + i, " ".join(chain)))
+    docs += [(2000 + i, " ".join([*base[1][:100], f"z{i}"])) for i in range(80)]
+    docs += [(3000 + i, " ".join([*base[2][:60], *(f"v{i}.{j}" for j in range(30))])) for i in range(20)]
+    docs += [(4000, ""), (4001, None), (4002, "One two"), (4003, "one TWO"), (4004, "one two three four five six")]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute_near(docs)
+    assert {r.doc_id: r.component_id for r in rows(near_copies.groups(table))} == want
+    assert len(set(want.values())) < len(docs) // 2
+    assert {r.doc_id for r in rows(corpus_pipeline.near_copy_stage(spark, table.selectExpr("doc_id", "text", "'en' lang", "'s' source", "1L n_chars"), ""))} == set(want.values())
+
+
+def test_near_copies_of_the_tables(spark):
+    folder = "/root/testdata/sf0.01"
+    got = {r.doc_id: r.component_id for r in rows(near_copies.groups(common.table(spark, folder, "documents", "doc_id", "text")))}
+    assert got == brute_near([(d, t) for d, t, _ in documents(folder)])
+
+
 # -- 10: search --------------------------------------------------------------------------------------------
 
 
