@@ -5,8 +5,9 @@ characters that are no letters (of ASCII) made one space, in DIM hashed places,
 documents, and scaled to length one.  Up to PER_LANGUAGE training documents of each
 language (those with the smallest hashed ids; MOST in all) are clustered into CENTROIDS
 centroids by spherical k-means.  A text gets the language of its nearest centroid.  It is rejected when
-its cosine falls below REJECT times the lowest that sample texts of its length (to a
-power of two) or longer show; texts shorter than all of the sample are not rejected for their distance.
+its cosine falls below a cutoff of that language and its length (to a power of two): MARGIN times the
+LOW quantile of the cosines that the POOL sample texts of the language next in length, or more, have
+with centroids made without them (in PARTS parts); shorter texts never need more than longer ones.  Texts shorter than all of the language's sample are not rejected for their distance.
 
 Defined results: a null text, or one without a letter, is `und` with score 0 and rejected;
 without any training row everything is; equal cosines go to the language first
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from . import common
 
 GRAMS, DIM = 3, 2048
-PER_LANGUAGE, MOST, CENTROIDS, REJECT = 400, 20_000, 4, 0.5
+PER_LANGUAGE, MOST, CENTROIDS = 400, 20_000, 4
+LOW, MARGIN, POOL, PARTS = 0.01, 0.9, 30, 3
 FOLDS, HELD_OUT = 3, 1
 #: Texts whose dense vectors are in memory at once.
 ROWS = 512
@@ -91,6 +93,23 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
+def cutoffs(x: np.ndarray, bands: np.ndarray) -> np.ndarray:
+    """By band of length, the cosine under which a text is none of the language with these samples."""
+    out = np.zeros(64)
+    if len(x) < 2:
+        return out
+    part = np.arange(len(x)) % PARTS
+    score = np.empty(len(x))
+    for p in range(min(PARTS, len(x))):
+        score[part == p] = (x[part == p] @ cluster(x[part != p], CENTROIDS).T).max(axis=1)
+    for b in range(bands.min(), 64):
+        apart = np.abs(bands - b)
+        near = apart <= np.sort(apart)[: POOL][-1]
+        out[b] = MARGIN * np.quantile(score[near], LOW, method="lower")
+    out[bands.min() :] = np.minimum.accumulate(out[bands.min() :][::-1])[::-1]
+    return out
+
+
 def has_letter(texts: list[str | None]) -> np.ndarray:
     return np.array([bool(t) and (t.isalpha() or any(map(str.isalpha, t))) for t in texts], bool)
 
@@ -100,19 +119,15 @@ class Model:
         """samples: by language the vectors and the bands of length."""
         self.idf, self.languages = idf.astype(np.float32), sorted(samples)
         centres, of = [], []
-        lowest = np.full(64, np.inf)
+        self.least = np.zeros((len(self.languages), 64))
         for i, lang in enumerate(self.languages):
             x, bands = samples[lang]
             own = cluster(x, CENTROIDS)
             centres.append(own)
             of += [i] * len(own)
-            np.minimum.at(lowest, bands, (x @ own.T).max(axis=1))
+            self.least[i] = cutoffs(x, bands)
         self.centres = np.concatenate(centres) if centres else np.zeros((0, DIM))
         self.of = np.array(of, int)
-        seen = np.flatnonzero(np.isfinite(lowest))
-        self.least = np.zeros(64)
-        if len(seen):
-            self.least[seen[0] :] = REJECT * np.minimum.accumulate(np.where(np.isfinite(lowest), lowest, lowest[seen[-1]])[::-1])[::-1][seen[0] :]
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, cosine and rejection of each text."""
@@ -123,7 +138,7 @@ class Model:
         best = cosine.argmax(axis=1)
         score = np.clip(cosine[np.arange(len(best)), best], 0, 1)
         lang = self.of[best]
-        return [self.languages[i] if ok else "und" for i, ok in zip(lang, letters, strict=True)], np.where(letters, score, 0.0), ~letters | (score < self.least[band(texts)])
+        return [self.languages[i] if ok else "und" for i, ok in zip(lang, letters, strict=True)], np.where(letters, score, 0.0), ~letters | (score < self.least[lang, band(texts)])
 
 
 def fit(documents: DataFrame, train) -> Model:

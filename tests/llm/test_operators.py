@@ -397,6 +397,39 @@ def test_rejection_is_by_distance():
     assert rejected.tolist() == [False, True, True, True, False]
 
 
+def test_foreign_languages_and_junk_are_rejected(spark):
+    """A language left out of training, and random letters, go; held-out texts of the others stay."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(1)
+    folder = "/root/testdata/sf0.01"
+    table = common.table(spark, folder, "documents", "doc_id", "text", "lang")
+    by = defaultdict(list)
+    for d, t, lang in documents(folder):
+        if t and lang and len(t) > 100 and zlib.crc32(str(d).encode()) % 3 == 1:
+            by[lang].append(t)
+    junk = pa.array(["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz     "), n)) for n in (500, 2000, 8000) for _ in range(5)])
+    for out in by:
+        model = langid.fit(table.where(F.col("lang") != out), langid.training())
+        assert model.predict(pa.array(by[out]))[2].mean() > 0.9, out
+        assert model.predict(junk)[2].all()
+        assert model.predict(pa.array([t for lang, v in by.items() if lang != out for t in v]))[2].mean() < 0.03
+
+
+def test_one_odd_text_leaves_other_languages_their_cutoffs():
+    idf = np.ones(langid.DIM)
+    rng = np.random.default_rng(2)
+    import pyarrow as pa
+
+    words = {"aa": ["the ", "and ", "ing "], "bb": ["der ", "und ", "ung "]}
+    texts = {k: ["".join(rng.choice(w) for _ in range(80)) for _ in range(60)] for k, w in words.items()}
+    texts["bb"][30] = "qzx jvk " * 40
+    model, odd = (langid.Model(idf, {k: (langid.vectors(pa.array(v[:n]), idf), langid.band(pa.array(v[:n]))) for k, v in texts.items()}) for n in (30, 60))
+    assert odd.least[0, 8] > 0.8 * model.least[0, 8]
+    assert model.least[0, 8] > 0.5
+
+
 # -- 8: packing ------------------------------------------------------------------------------------------
 
 
