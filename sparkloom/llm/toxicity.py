@@ -19,6 +19,7 @@ equal results; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,10 @@ FOLDS, HELD_OUT = 5, 0
 #: A-Z become a-z; all other ASCII but a-z becomes a space.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 97 <= b <= 122 else 32 for b in range(256))
 SHAPES = 5
+#: All bytes but A-Z, and but the letters of ASCII.
+NO_CAPITAL = bytes(b for b in range(256) if not 65 <= b <= 90)
+NO_LETTER = bytes(b for b in NO_CAPITAL if not 97 <= b <= 122)
+WIDE = re.compile("[^\x00-\x7f]+")
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -48,11 +53,19 @@ def terms(word: bytes) -> list[bytes]:
     return [word, *(b"^" + word[:n] for n in STEMS if n < len(word))]
 
 
+def capitals(raw: str) -> float:
+    """The share of capitals among the letters."""
+    data = raw.encode()
+    wide = "" if raw.isascii() else "".join(WIDE.findall(raw))
+    upper = len(data.translate(None, NO_CAPITAL)) + sum(map(str.isupper, wide))
+    return upper / ((len(data.translate(None, NO_LETTER)) + sum(map(str.isalpha, wide))) or 1)
+
+
 def shape(text: str | None, words: list[bytes], hits: int) -> list[float]:
-    """Pattern features, all between 0 and 1 or so."""
+    """Pattern features of the whole text, all between 0 and 1 or so; the first is twice the share of capitals."""
     raw = text or ""
     letters = sum(map(len, words)) or 1
-    return [min(1.0, sum(map(str.isupper, raw[:: max(1, len(raw) // 512)])) / 256), min(1.0, 20 * raw.count("!") / letters), min(1.0, 20 * raw.count("?") / letters), np.log1p(hits) / 3, min(1.0, 50 * hits / (len(words) + 1))]
+    return [min(1.0, 2 * capitals(raw)), min(1.0, 20 * raw.count("!") / letters), min(1.0, 20 * raw.count("?") / letters), np.log1p(hits) / 3, min(1.0, 50 * hits / (len(words) + 1))]
 
 
 def features(texts: list[str | None], lexicon: dict[bytes, int], toxic: int) -> np.ndarray:

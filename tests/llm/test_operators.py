@@ -228,6 +228,14 @@ def test_toxicity_learns_and_holds_out(spark, odd):
     assert held and np.mean([a == b for a, b in held]) >= 0.8
 
 
+def test_capitals_count_wherever_they_stand():
+    quiet, loud = "abcd efgh " * 400, "ABCD EFGH " * 100
+    values = [toxicity.shape(t, toxicity.words_of(t), 0)[0] for t in (loud + quiet, quiet + loud, quiet[:2000] + loud + quiet[2000:])]
+    assert values == pytest.approx([0.4] * 3) and toxicity.shape(loud, toxicity.words_of(loud), 0)[0] == 1
+    between = "".join("aB" for _ in range(1024))  # only every fourth place was looked at
+    assert toxicity.capitals(between) == 0.5 and toxicity.capitals("ÉÀ éà") == 0.5 and toxicity.capitals("") == 0
+
+
 def test_toxicity_on_driver_data(spark):
     folder = "/root/testdata/sf0.1"
     got = {r.doc_id: r for r in run(spark, folder, 4)}
