@@ -12,7 +12,7 @@ which brings them to the same bucket in one shuffle; there equal windows are ver
 32 bits of the anchor and the 64-bit fingerprint of all their words, and the smallest doc_id decides.
 
 Each map task first settles equal windows among its own documents and ships one
-occurrence of each, so a passage that fills a third of all documents costs one row per map
+occurrence of each (one per text where several rows share the smallest doc_id, or have none), so a passage that fills a third of all documents costs one row per map
 chunk, not per document.  Shipped windows are packed: one anchor for a run of windows,
 fingerprints, and compressed positions.
 
@@ -152,15 +152,17 @@ def settled(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Itera
             return
         doc, crc, pos, mark, anchor = (np.concatenate(x) for x in zip(*held, strict=True))
         held, held_bytes = [], 0
-        order = np.lexsort((doc, mark))
-        m, a, d = mark[order], anchor[order], doc[order]
+        order = np.lexsort((crc, doc, anchor, mark))
+        m, a, d, c = mark[order], anchor[order], doc[order], crc[order]
         start = np.ones(len(m), bool)
         start[1:] = (m[1:] != m[:-1]) | (a[1:] != a[:-1])
         least = d[np.flatnonzero(start)][np.cumsum(start) - 1] if len(d) else d
         repeat = np.zeros(len(m), bool)
         repeat[order] = d > least
+        # rows that tie on the least doc are no repeats of one another: each sends its first
+        start[1:] |= (d[1:] != d[:-1]) | (c[1:] != c[:-1])
         once = np.zeros(len(m), bool)
-        once[order] = start
+        once[order] = start & (d == least)
         out: list[tuple[int, int, bytes]] = []
         at = np.flatnonzero(repeat)
         spans = spans_of(doc[at], crc[at], pos[at])

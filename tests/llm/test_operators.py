@@ -205,6 +205,34 @@ def test_substring_dedup(spark, odd, settled, monkeypatch):
     assert sum(r[2] for r in got) > 500
 
 
+def test_rows_that_share_an_id_all_lose_what_an_earlier_document_holds(spark):
+    """Different texts without an id, and of one id, in one chunk; the document they copy from in another."""
+    rng = random.Random(4)
+    passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(30))
+    early = [(1, passage, "en")]
+    late = [(d, f"{d} {i} a b c {passage} tail{i}", "en") for i in range(4) for d in (None, 7)]
+    schema = "doc_id long, text string, lang string"
+    table = spark.createDataFrame(early, schema).coalesce(1).unionByName(spark.createDataFrame(late, schema).coalesce(1))
+    got = sorted(map(tuple, rows(substring_dedup.remove_repeats(table, digest=True))), key=str)
+    assert got == sorted(brute_kept(early + late), key=str) and sum(r[2] for r in got) == 8 * 30 + 4 * 5  # those without an id share five words more with document 7
+
+
+def test_settled_sends_each_text_that_ties_on_the_id():
+    import pyarrow as pa
+
+    passage = " ".join(f"p{i}" for i in range(13))
+    texts = [f"{passage} tail{i}" for i in range(3)]
+    batch = pa.RecordBatch.from_arrays([pa.array([substring_dedup.LAST] * 4), pa.array([1, 2, 3, 1]), pa.array([*texts, texts[0]])], names=["doc", "crc", "text"])
+    sent = defaultdict(int)
+    for out in substring_dedup.settled(iter([batch]), 13, 1):
+        for kind, blob in zip(out.column(1).to_pylist(), out.column(2).to_pylist(), strict=True):
+            if kind == 0:
+                _, _, crc, pos, count, _ = substring_dedup.unpacked(blob)
+                for c, at, n in zip(crc, pos, count, strict=True):
+                    sent[int(c)] += int(at <= 0 < at + n)
+    assert sent == {1: 1, 2: 1, 3: 1}
+
+
 def test_anchors_depend_on_the_window_alone():
     rng = np.random.default_rng(2)
     middle = rng.integers(0, 4, 200).astype(np.uint64)  # few names: many runs
