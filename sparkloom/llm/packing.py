@@ -12,8 +12,8 @@ limit - 1 numbers, whatever the size of the corpus.  On that histogram
 
 The plan (runs of equal sequences) is bounded by the limit, not by the corpus, and is
 the only thing sent to the executors.  A piece finds its place by its rank among pieces
-of its length; ranks are counted within (length, salt) groups, so a length shared by a
-third of the rows is spread over many tasks.
+of its length; ranks are counted within (length, salt) groups, more of them the more pieces a
+length has, so a length shared by a third of the rows is spread over many tasks.
 
 Defined results: a null or empty text is the end token alone; repeated rows and
 ties are pieces of their own, ranked by doc_id, piece and checksum; null ids are kept; an
@@ -25,7 +25,7 @@ from __future__ import annotations
 import base64
 import bisect
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 from . import common
 
 LIMIT, END = 2048, 0
-#: Groups among which the pieces of one length are dealt for ranking.
-SALTS = 64
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
+#: Groups, at least, among which the pieces of one length are dealt for ranking, and about how many pieces one group holds at most.
+SALTS, GROUP = 64, 1 << 20
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class Encoder:
@@ -85,49 +85,47 @@ def pieces(documents: DataFrame, limit: int = LIMIT, encoder=public_encoder) ->
                 ids = np.append(encode(text or ""), END).astype("<u4")
                 for i, (start, n) in enumerate(cut(len(ids), limit)):
                     crc = zlib.crc32(ids[start : start + n].tobytes())
-                    rows.append((doc, i, start, n, crc, zlib.crc32(b"%d %d %d" % (doc or 0, i, crc)) % SALTS))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
+                    rows.append((doc, i, start, n, crc))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(work, PIECES)
 
 
 def dominating(lengths: list[int], size: int, limit: int, have: dict[int, int]) -> tuple[int, ...] | None:
-    """The companions that some best packing gives one document of this size, if a rule proves them; lengths: those left, ascending, without one of size."""
+    """The companions that some best packing gives one document of this size, if a rule proves them; lengths: those left beside it, ascending."""
     room = limit - size
-    if not lengths or lengths[0] > room:
+    left = lambda s: have[s] - (s == size)
+    least = [s for s in lengths[:3] for _ in range(min(3, left(s)))][:3]  # the smallest companions, each as often as it is there
+    if not least or least[0] > room:
         return ()
-    if have.get(room, 0) > (room == size):
+    if room in have and left(room):
         return (room,)
     single = lengths[bisect.bisect_right(lengths, room) - 1]
-    second = lengths[0] if have[lengths[0]] - (lengths[0] == size) > 1 else lengths[1] if len(lengths) > 1 else limit
-    if lengths[0] + second > room:
+    if len(least) < 2 or sum(least[:2]) > room:
         return (single,)
-    third = lengths[0] if have[lengths[0]] - (lengths[0] == size) > 2 else second if have.get(second, 0) - (second == size) > 1 + (second == lengths[0]) else limit
-    if lengths[0] + second + third > room:
+    if len(least) < 3 or sum(least) > room:
         best, hi = 0, len(lengths) - 1
         for lo, a in enumerate(lengths):
-            while hi >= lo and a + lengths[hi] > room:
+            while hi > lo and a + lengths[hi] > room:
                 hi -= 1
-            if hi < lo:
+            if hi <= lo:
                 break
-            if hi > lo or have[a] - (a == size) > 1:
-                best = max(best, a + lengths[hi])
-            elif hi > 0:
-                break
-        if single >= best:
+            best = max(best, a + lengths[hi])
+        twice = [2 * a for a in lengths if left(a) > 1 and 2 * a <= room]
+        if single >= max([best, *twice]):
             return (single,)
     return None
 
 
 def reduce(have: dict[int, int], limit: int) -> list[tuple[tuple[int, ...], int]]:
-    """Fixed sets and how often each is taken; what they hold is taken out of have."""
+    """Fixed sets and how often each is taken; what they hold is taken out of have.
+
+    What proves a set once proves it as long as all that it holds is left: fewer others only leave fewer to compare with."""
     fixed: list[tuple[tuple[int, ...], int]] = []
 
     def take(sizes: tuple[int, ...]) -> None:
-        need = defaultdict(int)
-        for s in sizes:
-            need[s] += 1
+        need = Counter(sizes)
         times = min(have[s] // n for s, n in need.items())
         for s, n in need.items():
             have[s] -= n * times
@@ -144,16 +142,7 @@ def reduce(have: dict[int, int], limit: int) -> list[tuple[tuple[int, ...], int]
             left = sorted(s for s in have if s != size or have[s] > 1)
             if (best := dominating(left, size, limit, have)) is None:
                 break
-            if best and (len(left) > 1 and best[0] != limit - size) and have[best[0]] > 1 and left[0] + size + best[0] <= limit:
-                sizes = (size, *best)  # proven for one document at a time: counts may change which rule holds
-                have[size] -= 1
-                have[best[0]] -= 1
-                for s in set(sizes):
-                    if not have[s]:
-                        del have[s]
-                fixed.append((sizes, 1))
-            else:
-                take((size, *best))
+            take((size, *best))
     return fixed
 
 
@@ -210,7 +199,12 @@ def pack(documents: DataFrame, limit: int = LIMIT, encoder=public_encoder) -> Da
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     spark = documents.sparkSession
     cut_up = common.stored(pieces(documents, limit, encoder))
-    counts = {(r.length, r.salt): r["count"] for r in cut_up.groupBy("length", "salt").count().collect()}  # limit x SALTS rows at most
+    sizes = {r.length: r["count"] for r in cut_up.groupBy("length").count().collect()}  # limit rows at most
+    many = {n: times // GROUP for n, times in sizes.items() if times // GROUP > SALTS}
+    salts = F.lit(SALTS) if not many else F.coalesce(F.create_map(*(F.lit(x) for pair in many.items() for x in pair))[F.col("length").cast("int")], F.lit(SALTS))
+    cut_up = cut_up.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), salts.cast("long")).cast("int"))
+    # limit x SALTS rows, and one for each GROUP of pieces
+    counts = {(r.length, r.salt): r["count"] for r in cut_up.groupBy("length", "salt").count().collect()}
     histogram: dict[int, int] = defaultdict(int)
     first: dict[tuple[int, int], int] = {}
     for length, salt in sorted(counts):
@@ -225,9 +219,8 @@ def pack(documents: DataFrame, limit: int = LIMIT, encoder=public_encoder) -> Da
             sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
             for n in np.unique(length):
                 at = np.flatnonzero(length == n)
-                own = np.array([before[int(n), s] for s in range(SALTS) if (int(n), s) in before])
-                salts = np.array([s for s in range(SALTS) if (int(n), s) in before])
-                global_rank = own[np.searchsorted(salts, salt[at])] + rank[at] - 1
+                own = np.unique(salt[at])
+                global_rank = np.array([before[int(n), int(s)] for s in own])[np.searchsorted(own, salt[at])] + rank[at] - 1
                 run = runs[int(n)]
                 k = np.searchsorted(run[:, 0], global_rank, side="right") - 1
                 sequence[at] = run[k, 1] + global_rank - run[k, 0]
