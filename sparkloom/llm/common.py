@@ -50,6 +50,11 @@ def fold(doc_id: str, parts: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts
 
 
+def under(h: str, share: float) -> Column:
+    """Whether a 64-bit hash is among the smallest of its range."""
+    return F.col(h).cast("double") / 2.0**63 < 2.0 * min(share, 1.0) - 1 if share < 1 else F.lit(True)
+
+
 def lengths(texts: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -118,22 +123,14 @@ class Rolling:
         return mix((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
-BYTE_NAMES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-SPACE = np.zeros(256, bool)
-SPACE[[32, 9, 10, 11, 12, 13]] = True
+def word_names(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    import xxhash
 
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word [^\\x20\\x09-\\x0D]+, and the row that each belongs to."""
-    if not len(data):
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    word = ~SPACE[data]
-    first = np.zeros(len(data) + 1, bool)
-    first[offsets] = True
-    begins, ends = word.copy(), word.copy()
-    begins[1:] &= ~word[:-1] | first[1:-1]
-    ends[:-1] &= ~word[1:] | first[1:-1]
-    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    return start, end, np.searchsorted(offsets, start, side="right") - 1
 
+def words_by_row(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Names of all words [^\\x20\\x09-\\x0D]+ of the texts, and the row of each."""
+    words = [t.split() for t in texts]
+    return word_names([w for own in words for w in own]), np.repeat(np.arange(len(texts)), [len(w) for w in words])

@@ -110,13 +110,12 @@ class Chunk:
         code.sort()
         return code
 
-    def words(self, lo: int, hi: int, bytes_of: common.Rolling) -> tuple[np.ndarray, np.ndarray]:
+    def words(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
         """Names of all tokens, and the document's place of each."""
         raw = self.raw[self.start[lo] : self.start[hi - 1] + self.size[hi - 1] + 1]
         word = (raw != 32) & (raw != 10)
-        edge = np.diff(word.view(np.int8), prepend=np.int8(0), append=np.int8(0))
-        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        names = bytes_of.ranges(common.BYTE_NAMES[raw], start, end)
+        start = np.flatnonzero(np.diff(word.view(np.int8), prepend=np.int8(0)) == 1)
+        names = common.word_names(raw.tobytes().split())
         doc = np.searchsorted(self.start[lo:hi], start + self.start[lo], side="right") - 1 + lo
         return np.append(names, np.full(hi - lo, END_WORD)), np.append(doc, np.arange(lo, hi)).astype(np.int32)
 
@@ -153,12 +152,11 @@ def dealt(keys: np.ndarray, kind: int, buckets: int, *more: np.ndarray) -> Itera
 
 def gathered(batches: Iterator[pa.RecordBatch], buckets: int, salts: int) -> Iterator[pa.RecordBatch]:
     """Of chunks: the distinct grams and words of all documents by bucket, with their counts in the training documents."""
-    bytes_of = common.Rolling()
     for chunk_id, blob in _rows(batches):
         chunk = Chunk(blob)
         words, grams = [], []
         for lo, hi in chunk.blocks():
-            names, doc = chunk.words(lo, hi, bytes_of)
+            names, doc = chunk.words(lo, hi)
             order = np.argsort(names)
             words.append(runs(names[order], chunk.train[doc[order]]))
             codes = chunk.grams(lo, hi)
@@ -357,7 +355,6 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def finished(batches: Iterator[pa.RecordBatch], buckets: int, total: int, distinct: int) -> Iterator[pa.RecordBatch]:
     """Of chunks with their answers: a row for each document."""
-    bytes_of = common.Rolling()
     for _, blob, replies in _rows(batches):
         chunk = Chunk(blob)
         docs = len(chunk.ids)
@@ -372,7 +369,7 @@ def finished(batches: Iterator[pa.RecordBatch], buckets: int, total: int, distin
                 out[by[edge[b] : edge[b + 1]]] = got[kind, int(b)]
             return out
 
-        words = [chunk.words(lo, hi, bytes_of) for lo, hi in chunk.blocks()]
+        words = [chunk.words(lo, hi) for lo, hi in chunk.blocks()]
         own = np.unique(np.concatenate([np.unique(names) for names, _ in words]))
         count = answered(own, WORDS)
         tokens, known, base, score = (np.zeros(docs) for _ in range(4))

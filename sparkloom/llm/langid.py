@@ -2,9 +2,9 @@
 
 A vector counts the byte n-grams (1 to 3) of a whole text, lower-cased and with each run of
 characters that are no letters (of ASCII) made one space, in DIM hashed places, damped by log(1 + count), weighted by inverse document frequency over all training
-documents, and scaled to length one.  Up to PER_LANGUAGE training documents of each
-language (those with the smallest hashed ids; MOST in all) are clustered into CENTROIDS
-centroids by spherical k-means.  A text gets the language of its nearest centroid.  It is rejected when
+documents, and scaled to length one.  Up to PER_LANGUAGE different training documents (id and text) of each
+language (those with the smallest hashes; MOST in all, so that with more languages than that the MOST with the
+most documents are learned) are clustered into CENTROIDS centroids by spherical k-means.  A text gets the language of its nearest centroid.  It is rejected when
 its cosine falls below a cutoff of that language and its length (to a power of two): MARGIN times the
 LOW quantile of the cosines that the POOL sample texts of the language next in length, or more, have
 with centroids made without them (in PARTS parts); shorter texts never need more than longer ones.  Texts shorter than all of the language's sample are not rejected for their distance.
@@ -156,25 +156,25 @@ def fit(documents: DataFrame, train) -> Model:
     for place, n in rows.select("text").mapInArrow(frequencies, "place int, n long").groupBy("place").agg(F.sum("n")).collect():
         df[place + 1] = n
     idf = np.log((1 + df[0]) / (1 + df[1:])) + 1
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))  # one row a language
+    rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"))
+    sizes = documents.sparkSession.createDataFrame(sizes.orderBy(F.desc("n"), "lang").limit(MOST).collect(), "lang string, n long")
     languages = sizes.count()
     if not languages:
         return Model(idf, {})
     each = max(1, min(PER_LANGUAGE, MOST // languages))
     # the smallest hashes of a language lie below a bound that few of its rows pass
-    place = F.xxhash64("doc_id").cast("double") / 2.0**63
-    near = rows.select("lang", "doc_id").join(F.broadcast(sizes), "lang").where(place < 2.0 * (4 * each + 40) / F.col("n") - 1).select("lang", "doc_id").distinct()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each).select("lang", "doc_id")
+    near = rows.join(F.broadcast(sizes), "lang").where(F.col("h").cast("double") / 2.0**63 < 2.0 * (4 * each + 40) / F.col("n") - 1)
+    different = near.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    chosen = different.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= each)
 
     def vectorised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             v = vectors(batch.column(1), idf).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in v], pa.binary()), pa.array(band(batch.column(1)).astype(np.int32))], names=["lang", "vector", "band"])
 
-    chosen = rows.join(F.broadcast(ids), ["lang", "doc_id"], "left_semi")  # MOST ids at most
     samples: dict[str, list[tuple]] = defaultdict(list)
-    for lang, v, size in sorted(chosen.select("lang", "text").mapInArrow(vectorised, "lang string, vector binary, band int").limit(MOST).collect()):
+    for lang, v, size in sorted(chosen.select("lang", "text").mapInArrow(vectorised, "lang string, vector binary, band int").collect()):  # MOST rows at most
         samples[lang].append((np.frombuffer(v, np.float32).astype(np.float64), size))
     return Model(idf, {k: (np.array([x for x, _ in v]), np.array([b for _, b in v])) for k, v in samples.items()})
 

@@ -8,9 +8,11 @@ is selected when its probability reaches its kind's calibrated threshold; of ove
 the likeliest stays, and none overlaps a base span.
 
 The trees learn from disguises: base spans of up to SAMPLE documents (those with the smallest hashed
-ids) are rewritten in place in looser formats as positives; what the generators propose
-elsewhere in those documents, and look-alikes (dates, versions, amounts, failing numbers) put in the
-same places, are negatives.  A quarter of the examples sets the thresholds.
+ids; TAUGHT spans of each kind a document, drawn by its id) are rewritten in place in looser formats as positives, and
+look-alikes (dates, versions, amounts, failing numbers) put in the same places are negatives.  What the
+generators propose elsewhere in those documents (up to SEEN of each kind a document) has no label: what trees of the
+labelled examples hold for unlikely joins the negatives, the rest teaches nothing.  A quarter of the examples
+sets the thresholds.
 
 Defined results: a null or empty text has no spans; positions are code points, end exclusive;
 repeated rows get equal results; null ids are kept; with too few examples nothing is
@@ -19,6 +21,7 @@ added; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import re
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from . import common
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE = 4000
+SAMPLE, TAUGHT, SEEN = 4000, 4, 16
 #: What is written over a span.
 MARKS = {k: f"[{k.upper()}]" for k in KINDS}
 
@@ -50,7 +53,6 @@ LOOSE = {
     "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[._/\x20-]{1,3}[0-9]{2,6}){2,4}(?![0-9])|(?<![0-9])[0-9]{13,19}(?![0-9])"),
     "phone": re.compile(r"(?<![\w.+-])(?:00\s?[1-9][0-9]{0,2}[\x20.-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![\w-])"),
 }
-SPELLED = ("(at)", "[at]", "{at}", " at ", "(dot)", "[dot]", " dot ", "(AT)", "[AT]", " AT ")
 CUES = {
     "email": ("mail", "contact", "write", "reach", "@"),
     "ip": ("ip", "host", "server", "address", "ping", "login"),
@@ -99,10 +101,34 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+class Clear:
+    """Ranges of a text, merged, that tell whether a span overlaps none of them."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, s, e in sorted(spans, key=lambda x: x[1:]):
+            if self.ends and s <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def of(self, start: int, end: int) -> bool:
+        i = bisect.bisect_right(self.ends, start)
+        return i == len(self.starts) or end <= self.starts[i]
+
+    def add(self, start: int, end: int) -> None:
+        """A span that is clear of all."""
+        i = bisect.bisect_left(self.starts, start)
+        self.starts.insert(i, start)
+        self.ends.insert(i, end)
+
+
 def proposals(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """What the generators find clear of the spans taken; proposals may overlap one another."""
-    found = [(kind, *m.span()) for kind, pattern in LOOSE.items() for m in pattern.finditer(text)]
-    return [f for f in found if all(f[2] <= s or f[1] >= e for _, s, e in taken)]
+    clear = Clear(taken)
+    return [(kind, *m.span()) for kind, pattern in LOOSE.items() for m in pattern.finditer(text) if clear.of(*m.span())]
 
 
 FEATURES = 26
@@ -134,7 +160,10 @@ def disguises(kind: str, span: str, rng: random.Random) -> list[str]:
     d = digits_of(span)
     if kind == "email":
         name, host = span.split("@")
-        return [f"{name} at {host.replace('.', ' dot ')}", f"{name}(at){host}", f"{name} [at] {host.replace('.', ' [dot] ')}", f"{name} @ {host}"]
+        names, parts = [name, re.sub("[0-9._%+-]+", "", name) or name], host.split(".")
+        hosts = [host, ".".join(parts[-2:]), ".".join([re.sub("[0-9-]+", "", parts[0]) or parts[0], *parts[1:]])]
+        any_of = lambda: (rng.choice(names), rng.choice(hosts))
+        return [f"{n}{at}{h.replace('.', dot)}" for at, dot in ((" at ", " dot "), ("(at)", "."), (" [at] ", " [dot] "), (" @ ", "."), (" at ", "."), ("{at}", "{dot}")) for n, h in [any_of()]]
     if kind == "ip":
         return [span.replace(".", "[.]"), span.replace(".", " . "), span.replace(".", "(dot)")]
     if kind == "card":
@@ -152,30 +181,49 @@ def lookalikes(rng: random.Random) -> list[str]:
     return [
         f"{n(1990, 2030)}-{n(1, 13):02}-{n(1, 29):02}", f"{n(1, 29):02}.{n(1, 13):02}.{n(1990, 2030)}", f"{n(24):02}:{n(60):02}-{n(24):02}:{n(60):02}", f"{n(9)}.{n(20)}.{n(9999)}", f"version {n(9)}.{n(9)}.{n(9)}.{n(300, 999)}",
         f"${n(1, 999)},{n(100, 999)}.{n(100):02}", f"978-3-{n(10, 99)}-{n(100000, 999999)}-{n(10)}", f"{n(300, 999)} . {n(256)} . {n(256)} . {n(256)}", ".".join(wrong[i : i + 4] for i in range(0, 16, 4)), wrong, "  ".join(wrong[i : i + 4] for i in range(0, 16, 4)),
-        f"{n(1, 9)} {n(100, 999)} {n(100, 999)} {n(100, 999)}", f"page {n(10, 99)} {n(100, 999)} {n(100, 999)}", f"look at line {n(99)}. Then", f"we met at noon. After", f"order {n(10**8, 10**10)}", f"{n(1900, 2030)} {n(1900, 2030)} {n(1900, 2030)} {n(1900, 2030)}", f"{n(100, 999)}.{n(100, 999)}.{n(100, 999)},{n(10, 99)}", f"{n(10**12, 10**14)}",
+        f"{n(1, 9)} {n(100, 999)} {n(100, 999)} {n(100, 999)}", f"page {n(10, 99)} {n(100, 999)} {n(100, 999)}", f"look at line {n(99)}. Then", "we met at noon. After", f"come at {n(24)}.{n(10, 60)}", f"{n(2, 99)} @ {n(100)}.{n(100):02}", f"stay at home.{n(9)}", f"order {n(10**8, 10**10)}", f"{n(1900, 2030)} {n(1900, 2030)} {n(1900, 2030)} {n(1900, 2030)}", f"{n(100, 999)}.{n(100, 999)}.{n(100, 999)},{n(10, 99)}", f"{n(10**12, 10**14)}",
     ]
 
 
+def drawn(spans: list[tuple[str, int, int]], each: int, rng: random.Random) -> list[tuple[str, int, int]]:
+    """Up to so many spans of each kind."""
+    by = [[s for s in spans if s[0] == kind] for kind in KINDS]
+    return [s for own in by for s in (rng.sample(own, each) if len(own) > each else own)]
+
+
+#: Labels of examples: no personal data, personal data, unknown.
+NO, YES, UNKNOWN = 0, 1, 2
+
+
 def examples(text: str, base: list[tuple[str, int, int]], seed: int) -> tuple[list[list[int]], list[int]]:
     """Features and labels from one document with base spans."""
     rng = random.Random(seed)
     x, y = [], []
-    for f in proposals(text, base)[:50]:
+    for f in drawn(proposals(text, base), SEEN, rng):
         x.append(features(text, *f))
-        y.append(0)
-    for kind, s, e in base[:8]:
+        y.append(UNKNOWN)
+    for kind, s, e in drawn(base, TAUGHT, rng):
         left, right = text[max(0, s - 64) : s], text[e : e + 64]
-        for label, forms in ((1, disguises(kind, text[s:e], rng)), (0, rng.sample(lookalikes(rng), 4))):
+        for label, forms in ((YES, disguises(kind, text[s:e], rng)), (NO, rng.sample(lookalikes(rng), 4))):
             for form in forms:
                 near = left + form + right
                 own = base_spans(near)
                 for f in proposals(near, own):
-                    if f[1] < len(left) + len(form) and f[2] > len(left) and (not label or f[0] == kind):
+                    if f[1] < len(left) + len(form) and f[2] > len(left) and (label == NO or f[0] == kind):
                         x.append(features(near, *f))
                         y.append(label)
     return x, y
 
 
+def labelled(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The examples without those of unknown label that may be personal data; the rest of these are none."""
+    sure = y != UNKNOWN
+    if sure.all() or not 0 < y[sure].mean() < 1:
+        return x[sure], y[sure].astype(float)
+    use = sure | (Boosted(x[sure], y[sure].astype(float)).predict(x) < 0.5)
+    return x[use], (y[use] == YES).astype(float)
+
+
 class Boosted:
     """Gradient-boosted trees of DEPTH levels on small integer features, log loss."""
 
@@ -237,36 +285,45 @@ def thresholds(p: np.ndarray, y: np.ndarray, kind: np.ndarray, precision: float
     return out
 
 
-def suspicious(text: str) -> bool:
-    return bool(TRIGGER.search(text)) or any(s in text for s in SPELLED)
+TRIGGER = re.compile("[0-9@]")
+#: What every base format and every generator needs.
+SPELLED = re.compile(r"[0-9@]|\(at\)|\[at\]|\{at\}|\sat\s", re.I)
 
 
-TRIGGER = re.compile("[0-9@]")
+def suspicious(text: str) -> bool:
+    return bool(SPELLED.search(text))
 
 
 def fit(documents: DataFrame) -> tuple[Boosted, np.ndarray] | None:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.chunks(batches):
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text and TRIGGER.search(text) and (base := base_spans(text)):
-                    seed = int.from_bytes(hashlib.sha256(f"{doc}".encode()).digest()[:7], "little")
-                    x, y = examples(text, base, seed)
+                    x, y = examples(text, base, h)
                     if y:
-                        rows.append((seed, np.array(x, np.uint8).tobytes(), np.array(y, np.uint8).tobytes()))
+                        rows.append((h, np.array(x, np.uint8).tobytes(), np.array(y, np.uint8).tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["seed", "x", "y"])
-
-    taught = documents.mapInArrow(work, "seed long, x binary, y binary").orderBy("seed", "x").limit(SAMPLE).collect()
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["h", "x", "y"])
+
+    # different documents by hash; only a share of them is looked at, and more if too few of these have base spans
+    hashed = documents.select(F.xxhash64("doc_id", "text").alias("h"), "text")
+    n = hashed.agg(F.approx_count_distinct("h", 0.02)).first()[0]
+    share, taught = 4 * SAMPLE / max(n, 1), []
+    while len(taught) < SAMPLE:
+        different = hashed.where(common.under("h", share)).groupBy("h").agg(F.min("text").alias("text"))
+        taught = different.mapInArrow(work, "h long, x binary, y binary").orderBy("h").limit(SAMPLE).collect()
+        if share >= 1:
+            break
+        share *= 8
     x = np.frombuffer(b"".join(r.x for r in taught), np.uint8).reshape(-1, FEATURES)
-    y = np.frombuffer(b"".join(r.y for r in taught), np.uint8).astype(float)
-    if len(y) < 40 or not 0 < y.mean() < 1:
-        return None
-    apart = np.concatenate([np.full(len(r.y), r.seed % 4 == 0) for r in taught])
-    if apart.all() or not apart.any():
+    y = np.frombuffer(b"".join(r.y for r in taught), np.uint8)
+    apart = np.concatenate([np.full(len(r.y), r.h % 4 == 0) for r in taught]) if taught else np.zeros(0, bool)
+    (x, y), (x_apart, y_apart) = labelled(x[~apart], y[~apart]), labelled(x[apart], y[apart])
+    if len(y) < 40 or not 0 < y.mean() < 1 or not len(y_apart):
         return None
-    trees = Boosted(x[~apart], y[~apart])
-    return trees, thresholds(trees.predict(x[apart]), y[apart], x[apart, 0])
+    trees = Boosted(x, y)
+    return trees, thresholds(trees.predict(x_apart), y_apart, x_apart[:, 0])
 
 
 def added(text: str, base: list[tuple[str, int, int]], model) -> list[tuple[str, int, int]]:
@@ -276,9 +333,11 @@ def added(text: str, base: list[tuple[str, int, int]], model) -> list[tuple[str,
     trees, least = model
     p = trees.predict(np.array([features(text, *f) for f in found], np.uint8))
     out: list[tuple[str, int, int]] = []
+    clear = Clear([])
     for q, f in sorted(zip(p, found, strict=True), key=lambda z: (-z[0], z[1][1], -z[1][2], z[1][0])):
-        if q >= least[KINDS.index(f[0])] and all(f[2] <= s or f[1] >= e for _, s, e in out):
+        if q >= least[KINDS.index(f[0])] and clear.of(*f[1:]):
             out.append(f)
+            clear.add(*f[1:])
     return out
 
 

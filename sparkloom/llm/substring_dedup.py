@@ -9,7 +9,9 @@ inside a window is the same in every occurrence of it.  Of those each window tak
 one with the smallest name as its anchor (a window without one, say inside a long run, takes
 its own fingerprint).  Windows shared by documents thus share a high-level symbol,
 which brings them to the same bucket in one shuffle; there equal windows are verified by
-32 bits of the anchor and the 64-bit fingerprint of all their words, and the smallest doc_id decides.
+32 bits of the anchor and the 64-bit fingerprint of all their words (each word by a 64-bit hash), and the
+smallest doc_id decides.  What goes comes back as ranges of a document's windows with the sum of their
+fingerprints, and only where the document has these windows there.
 
 Each map task first settles equal windows among its own documents and ships one
 occurrence of each (one per text where several rows share the smallest doc_id, or have none), so a passage that fills a third of all documents costs one row per map
@@ -43,12 +45,6 @@ LAST = 2**63 - 1
 SETTLED, BUCKETS = 6 << 20, 4
 
 
-def named(data: np.ndarray, offsets: np.ndarray, bytes_of: common.Rolling) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit name of each word, and the row of each."""
-    start, end, row = common.word_spans(data, offsets)
-    return bytes_of.ranges(common.BYTE_NAMES[data], start, end), row
-
-
 def windows(names: np.ndarray, row: np.ndarray, words_of: common.Rolling, size: int) -> tuple[np.ndarray, np.ndarray]:
     """First word and fingerprint of each window."""
     n = len(names) - size + 1
@@ -122,15 +118,15 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def spans_of(doc: np.ndarray, crc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Ranges of consecutive positions, by document, of positions in order."""
+def spans_of(doc: np.ndarray, crc: np.ndarray, at: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ranges of consecutive positions, by document, of positions in order, each with the sum of its marks."""
     if not len(at):
-        return doc, crc, at.astype(np.int32), at.astype(np.int32)
+        return doc, crc, at.astype(np.int32), at.astype(np.int32), mark
     cut = np.ones(len(at), bool)
     cut[1:] = (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1]) | (crc[1:] != crc[:-1])
     first = np.flatnonzero(cut)
     last = np.append(first[1:], len(at)) - 1
-    return doc[first], crc[first], at[first].astype(np.int32), at[last].astype(np.int32) + 1
+    return doc[first], crc[first], at[first].astype(np.int32), at[last].astype(np.int32) + 1, np.add.reduceat(mark, first, dtype=np.uint64)
 
 
 def rolled(values: np.ndarray) -> np.ndarray:
@@ -142,7 +138,7 @@ MAPPED, FLAGGED = "bucket int, kind int, blob binary", "doc long, crc long, blob
 
 def settled(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Of rows (doc, crc, text): windows to be verified elsewhere (kind 0), and ranges already known to be repeats (kind 1)."""
-    bytes_of, words_of = common.Rolling(), common.Rolling()
+    words_of = common.Rolling()
     held: list[tuple] = []
     held_bytes = 0
 
@@ -165,7 +161,7 @@ def settled(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Itera
         once[order] = start & (d == least)
         out: list[tuple[int, int, bytes]] = []
         at = np.flatnonzero(repeat)
-        spans = spans_of(doc[at], crc[at], pos[at])
+        spans = spans_of(doc[at], crc[at], pos[at], mark[at])
         to = (mix(spans[0].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         for b in np.unique(to):
             out.append((int(b), 1, packed(*(x[to == b] for x in spans))))
@@ -189,15 +185,15 @@ def settled(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Itera
             yield pa.RecordBatch.from_arrays([pa.array(bs, pa.int32()), pa.array(ks, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "kind", "blob"])
 
     for batch in common.chunks(batches):
-        data, offsets = common.flat(batch.column(2))
-        names, row = named(data, offsets, bytes_of)
+        texts = [(t or "").encode() for t in batch.column(2).to_pylist()]
+        names, row = common.words_by_row(texts)
         at, mark = windows(names, row, words_of, size)
         anchor = anchors(names, row, size)[at]
         anchor = np.where(anchor == np.uint64(2**64 - 1), mark, anchor)
         of = row[at]
         doc, crc = (np.asarray(batch.column(i)).astype(np.int64) for i in (0, 1))
         held.append((doc[of], crc[of], at - np.searchsorted(row, of), mark, anchor))
-        held_bytes += len(data)
+        held_bytes += sum(map(len, texts))
         if held_bytes >= SETTLED:
             yield from flush()
     yield from flush()
@@ -220,7 +216,7 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = d[np.flatnonzero(start)][np.cumsum(start) - 1]
         w = np.sort(order[d > least])
         place = pos[of[w]] + w - (np.cumsum(count) - count)[of[w]]
-        yield from by_document(*spans_of(doc[of[w]], crc[of[w]], place))
+        yield from by_document(*spans_of(doc[of[w]], crc[of[w]], place, mark[w]))
 
     for batch in batches:
         for b, kind, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -235,35 +231,45 @@ def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def by_document(doc: np.ndarray, crc: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
+#: A range of windows that go, and the sum of their marks.
+RANGE = np.dtype([("start", "<i4"), ("end", "<i4"), ("marks", "<u8")])
+
+
+def by_document(doc: np.ndarray, crc: np.ndarray, start: np.ndarray, end: np.ndarray, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
     if not len(doc):
         return
     order = np.lexsort((start, crc, doc))
-    doc, crc, both = doc[order], crc[order], np.column_stack([start, end])[order].astype("<i4")
+    doc, crc, ranges = doc[order], crc[order], np.empty(len(order), RANGE)
+    ranges["start"], ranges["end"], ranges["marks"] = start[order], end[order], marks[order]
     cut = np.ones(len(doc), bool)
     cut[1:] = (doc[1:] != doc[:-1]) | (crc[1:] != crc[:-1])
     first = np.flatnonzero(cut)
-    blobs = [x.tobytes() for x in np.split(both, first[1:])]
+    blobs = [x.tobytes() for x in np.split(ranges, first[1:])]
     yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(crc[first]), pa.array(blobs, pa.binary())], names=["doc", "crc", "blob"])
 
 
-def covered(data: np.ndarray, offsets: np.ndarray, blobs: list[list[bytes]], size: int, bytes_of, words_of) -> tuple[np.ndarray, np.ndarray]:
-    """Which words of the rows go, given the ranges of windows that do, and the row of each word.  Equal windows of a row go together."""
-    names, row = named(data, offsets, bytes_of)
+def covered(names: np.ndarray, row: np.ndarray, blobs: list[list[bytes]], size: int, words_of: common.Rolling) -> np.ndarray:
+    """Which words of the rows go, given the ranges of windows that do.  Equal windows of a row go together.
+
+    A range whose marks are not this row's is that of another text with the same id and checksum."""
     at, mark = windows(names, row, words_of, size)
-    base = np.searchsorted(row, np.arange(len(blobs)))
-    hit = np.zeros(len(names) + 1, np.int64)
+    goes = np.zeros(len(at) + 1, np.int64)
+    sums = np.append(np.uint64(0), np.cumsum(mark))
+    edge = np.searchsorted(row[at], np.arange(len(blobs) + 1))
     for i, parts in enumerate(blobs):
-        spans = np.frombuffer(b"".join(parts), "<i4").reshape(-1, 2) + base[i]
-        np.add.at(hit, spans[:, 0], 1)
-        np.add.at(hit, spans[:, 1], -1)
-    goes = np.cumsum(hit)[at] > 0
+        ranges = np.frombuffer(b"".join(parts), RANGE)
+        start, end = ranges["start"] + edge[i], ranges["end"] + edge[i]
+        own = end <= edge[i + 1]
+        own &= sums[np.where(own, end, 0)] - sums[np.where(own, start, 0)] == ranges["marks"]
+        np.add.at(goes, start[own], 1)
+        np.add.at(goes, end[own], -1)
+    goes = np.cumsum(goes)[:-1] > 0
     key = mix(mark + mix(row[at].astype(np.uint64)))
     goes |= np.isin(key, key[goes])
     cover = np.zeros(len(names) + 1, np.int64)
     cover[at[goes]] += 1
     cover[at[goes] + size] -= 1
-    return np.cumsum(cover)[:-1] > 0, row
+    return np.cumsum(cover)[:-1] > 0
 
 
 def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,10 +280,6 @@ def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(small, pa.binary())], names=["doc", "crc", "none", "words"])
 
 
-def flat_bytes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64)
-
-
 def remove_repeats(documents: DataFrame, size: int = WINDOW, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept: the words that stay joined by one space (digest: their SHA-256 in hex as kept_sha256)."""
     spark = documents.sparkSession
@@ -290,7 +292,7 @@ def remove_repeats(documents: DataFrame, size: int = WINDOW, digest: bool = Fals
     name = "kept_sha256" if digest else "kept"
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bytes_of, words_of = common.Rolling(), common.Rolling()
+        words_of = common.Rolling()
         expand = zstandard.ZstdDecompressor().decompress
         for batch in common.chunks(batches, "words", sizes=lambda c: np.array([zstandard.frame_content_size(t) for t in c.to_pylist()], np.int64)):
             blobs = batch.column(4).to_pylist()
@@ -299,10 +301,11 @@ def remove_repeats(documents: DataFrame, size: int = WINDOW, digest: bool = Fals
             kept = list(words)
             some = [i for i, b in enumerate(blobs) if b]
             if some:
-                goes, row = covered(*flat_bytes([texts[i] for i in some]), [blobs[i] for i in some], size, bytes_of, words_of)
+                row = np.repeat(np.arange(len(some)), [len(words[i]) for i in some])
+                stay = ~covered(common.word_names([w for i in some for w in words[i]]), row, [blobs[i] for i in some], size, words_of)
                 edge = np.searchsorted(row, np.arange(len(some) + 1))
                 for j, i in enumerate(some):
-                    kept[i] = list(compress(words[i], (~goes[edge[j] : edge[j + 1]]).tolist()))
+                    kept[i] = list(compress(words[i], stay[edge[j] : edge[j + 1]].tolist()))
             joined = [b" ".join(k) for k in kept]
             out = [hashlib.sha256(j).hexdigest() for j in joined] if digest else [j.decode() for j in joined]
             ids = [None if none else d for d, none in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]

@@ -2,7 +2,7 @@
 
 1. Lexicon: words, and beginnings of words (4 to 8 bytes), whose presence speaks most for or against label 1 among a bounded sample of SAMPLE
    labelled training rows (those with the smallest hashed ids), with their document counts.
-   Of rows that share one of two minimum hashes of five words, as copies do, one teaches.
+   Of rows with one id the least text teaches; of rows that share one of two minimum hashes of five words (of all, if they have fewer), as copies do, one teaches.
 2. Voters: groups of lexicon words vote toxic; their joint absence, the ordinary-words group and
    patterns (several terms, their density, capitals and exclamation marks beside one) vote too; the
    given label is one voter among them, of fixed accuracy GIVEN.
@@ -161,21 +161,22 @@ def fit(documents: DataFrame, labels: DataFrame) -> tuple[dict[bytes, int], int,
     """Lexicon, how many of its words speak for label 1, weights."""
     teaches = common.fold("doc_id", FOLDS) != HELD_OUT
     known = labels.where(F.col("toxic").isNotNull() & teaches).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    chosen = common.stored(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE))
-    # SAMPLE ids at most; what they label is read once, and then from a table of its own
-    rows = common.stored(documents.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"))
+    hashed = common.stored(known.withColumn("h", F.xxhash64("doc_id")))
+    chosen = common.stored(hashed.where(common.under("h", (2 * SAMPLE + 100) / max(hashed.count(), 1))).orderBy("h", "doc_id").limit(SAMPLE).select("doc_id", "toxic"))
+    # SAMPLE ids at most, and of each one text; what they label is read once, and then from a table of its own
+    rows = common.stored(documents.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")))
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in common.chunks(batches):
             words = [words_of(t) for t in batch.column(1).to_pylist()]
-            least = [[min((xxhash.xxh64_intdigest(b" ".join(s), seed) >> 1 for s in zip(w, w[1:], w[2:], w[3:], w[4:])), default=len(w)) for w in words] for seed in (1, 2)]  # noqa: B905
+            least = [[min(xxhash.xxh64_intdigest(b" ".join(w[i : i + 5]), seed) >> 1 for i in range(max(1, len(w) - 4))) for w in words] for seed in (1, 2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in least)], names=["doc_id", "one", "two"])
 
     own: set = set()
     seen: tuple[set, set] = set(), set()
-    for r in sorted(rows.mapInArrow(sketched, "doc_id long, one long, two long").limit(2 * SAMPLE).collect()):
+    for r in sorted(rows.mapInArrow(sketched, "doc_id long, one long, two long").collect()):
         if r.one not in seen[0] and r.two not in seen[1]:
             own.add(r.doc_id)
         seen[0].add(r.one)
@@ -187,7 +188,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> tuple[dict[bytes, int], int,
         for batch in common.chunks(batches):
             tally: dict[bytes, list[int]] = {}
             for text, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                for w in {x for w in set(words_of(text)) if len(w) <= 64 for x in terms(w)}:
+                for w in {x for w in set(words_of(text)) for x in terms(w)}:
                     tally.setdefault(w, [0, 0])[label > 0] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(tally), pa.binary()), pa.array([v[1] for v in tally.values()], pa.int64()), pa.array([v[0] for v in tally.values()], pa.int64())], names=["word", "p", "n"])
 
@@ -208,7 +209,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> tuple[dict[bytes, int], int,
             x = features(batch.column(1).to_pylist(), lexicon, toxic)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([np.packbits(v[:-SHAPES] > 0).tobytes() + v[-SHAPES:].tobytes() for v in x], pa.binary())], names=["doc_id", "toxic", "x"])
 
-    taught = sorted(rows.mapInArrow(vectorised, "doc_id long, toxic int, x binary").limit(2 * SAMPLE).collect())
+    taught = sorted(rows.mapInArrow(vectorised, "doc_id long, toxic int, x binary").collect())
     cut = -4 * SHAPES
     x = np.array([np.append(np.unpackbits(np.frombuffer(r.x[:cut], np.uint8))[: len(lexicon)].astype(np.float32), np.frombuffer(r.x[cut:], np.float32)) for r in taught])
     gold = np.array([r.toxic for r in taught])
