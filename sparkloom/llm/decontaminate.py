@@ -5,9 +5,9 @@ window.  Windows of one length make one searcher: a shift table over blocks of t
 words tells how far the text may be skipped, blocks with shift zero lead through a
 bucket of the windows that end with that block, and a direct comparison of the words confirms.
 
-The benchmark is read in blocks of bounded size; each block's tables travel with the function
-of one pass over the documents, and the passes are put together, so what is sent and held does
-not grow with the benchmark.
+The benchmark is read in blocks of ITEMS items or BYTES of text; the tables of a block are built when
+its turn comes, broadcast for one pass over the documents, and dropped when the pass is stored, so what
+the driver and the workers hold is bounded by the block, not by the benchmark.
 
 Defined results: null or wordless texts have no words and no hits; items without
 words have no window; repeated benchmark rows count once (by item_id), null item ids are
@@ -38,19 +38,25 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(WORDS).split()
 
 
+def tables_of(windows: dict[tuple[bytes, ...], set]) -> tuple[int, int, dict, dict]:
+    """Of windows of one length: that length, the words in a block, the shifts of blocks, the windows by last block."""
+    m = len(next(iter(windows)))
+    b = min(BLOCK, m)
+    shift: dict = {}
+    bucket: dict = {}
+    for w, items in windows.items():
+        for end in range(b, m + 1):
+            block = w[end - b : end] if b > 1 else w[end - 1]
+            shift[block] = min(shift.get(block, m), m - end)
+        bucket.setdefault(w[m - b :] if b > 1 else w[-1], []).append((list(w), items))
+    return m, b, shift, bucket
+
+
 class Searcher:
     """Wu-Manber over sequences of words, all of one length."""
 
-    def __init__(self, windows: dict[tuple[bytes, ...], set]) -> None:
-        self.m = m = len(next(iter(windows)))
-        self.b = b = min(BLOCK, m)
-        self.shift: dict = {}
-        self.bucket: dict = defaultdict(list)
-        for w, items in windows.items():
-            for end in range(b, m + 1):
-                block = w[end - b : end] if b > 1 else w[end - 1]
-                self.shift[block] = min(self.shift.get(block, m), m - end)
-            self.bucket[w[m - b :] if b > 1 else w[-1]].append((list(w), items))
+    def __init__(self, m: int, b: int, shift: dict, bucket: dict) -> None:
+        self.m, self.b, self.shift, self.bucket = m, b, shift, bucket
 
     def find(self, words: list[bytes]) -> Iterator[tuple[int, set]]:
         """Where a window starts, and its items, in order."""
@@ -67,14 +73,19 @@ class Searcher:
             i += 1
 
 
-def searchers(items: list[tuple], size: int = SIZE) -> list[Searcher]:
+def tables(items: list[tuple], size: int = SIZE) -> list[tuple[int, int, dict, dict]]:
+    """What the searchers of these items need, as plain values that can be broadcast."""
     by: dict[int, dict] = defaultdict(lambda: defaultdict(set))
     for item, text in items:
         words = words_of(text)
         n = min(size, len(words))
         for i in range(len(words) - n + 1 if n else 0):
             by[n][tuple(words[i : i + n])].update(() if item is None else (item,))
-    return [Searcher(w) for _, w in sorted(by.items())]
+    return [tables_of(w) for _, w in sorted(by.items())]
+
+
+def searchers(given) -> list[Searcher]:
+    return [Searcher(*t) for t in given]
 
 
 def search(words: list[bytes], finders: list[Searcher]) -> tuple[list[tuple[int, int]], set]:
@@ -101,8 +112,16 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
         if len(block) >= ITEMS or size >= BYTES:
             yield block
             block, size = [], 0
-    if block:
-        yield block
+    yield block
+
+
+def with_last(blocks: Iterator[list]) -> Iterator[tuple[list, bool]]:
+    """Each block, and whether none comes after it."""
+    before = next(blocks)
+    for block in blocks:
+        yield before, False
+        before = block
+    yield before, True
 
 
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -111,11 +130,14 @@ RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 stri
 def find_leaks(documents: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """Every row of documents with its columns doc_id, text and the hits: n_words, spans, items."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keyed = rows.withColumn("row", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.sha2(F.coalesce("text", F.lit("")), 256)))
+    kind = "doc_id long, n_words long, starts array<long>, ends array<long>, items array<long>"
     passes: list[DataFrame] = []
-    blocks = [searchers(block, size) for block in item_blocks(benchmark)] or [[]]
-    for finders in blocks:
+    for block, last in with_last(item_blocks(benchmark)):
+        given = documents.sparkSession.sparkContext.broadcast(tables(block, size))
 
-        def work(batches: Iterator[pa.RecordBatch], finders=finders) -> Iterator[pa.RecordBatch]:
+        def work(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
+            finders = searchers(given.value)
             for batch in common.chunks(batches):
                 out: list[list] = [[], [], [], []]
                 for text in batch.column(1).to_pylist():
@@ -126,11 +148,10 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, size: int = SIZE) ->
                 kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True)), *([batch.column(2)] if batch.num_columns > 2 else [])], names=["doc_id", "n_words", "starts", "ends", "items", *(["row"] if batch.num_columns > 2 else [])])
 
-        kind = "doc_id long, n_words long, starts array<long>, ends array<long>, items array<long>"
-        if len(blocks) == 1:
+        if last and not passes:
             return rows.mapInArrow(work, kind)
-        keyed = rows.withColumn("row", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.sha2(F.coalesce("text", F.lit("")), 256)))
-        passes.append(keyed.mapInArrow(work, kind + ", row string").withColumn("pass", F.lit(len(passes))))
+        passes.append(common.stored(keyed.mapInArrow(work, kind + ", row string")).withColumn("pass", F.lit(len(passes))))
+        given.destroy()
     every = passes[0]
     for p in passes[1:]:
         every = every.unionByName(p)
@@ -163,14 +184,18 @@ def clean(documents: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataF
     """The rows without any hit, with all columns; each block of the benchmark is a filter of its own."""
     schema = documents.schema
     at = documents.columns.index("text")
-    for block in item_blocks(benchmark):
-        finders = searchers(block, size)
+    for block, last in with_last(item_blocks(benchmark)):
+        given = documents.sparkSession.sparkContext.broadcast(tables(block, size))
 
-        def work(batches: Iterator[pa.RecordBatch], finders=finders) -> Iterator[pa.RecordBatch]:
+        def work(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
+            finders = searchers(given.value)
             for batch in common.chunks(batches):
                 yield batch.filter(pa.array([not search(words_of(t), finders)[0] for t in batch.column(at).to_pylist()], pa.bool_()))
 
         documents = documents.mapInArrow(work, schema)
+        if not last:
+            documents = common.stored(documents)
+            given.destroy()
     return documents
 
 
