@@ -134,14 +134,17 @@ class _Read(Sym):
         return self.name
 
 
-def paths(df: DataFrame, column: str, deepest: int = 32) -> DataFrame:
+def paths(df: DataFrame, column: str) -> DataFrame:
     """Every path of a variant column with each class of value and the rows that hold it: path (keys), class, rows.
 
-    The path without keys is the column's own values.  A list is a path, its elements are not."""
+    The path without keys is the column's own values.  A list is a path, its elements are not.  Levels are
+    taken one after another as long as there are objects; each is counted from the values of the one before, which are stored."""
+    from ..sources.shared import shared_folder
+
     spark = df.sparkSession
     level = df.select(F.array().cast("array<string>").alias("path"), F.col(column).alias("value")).where("value is not null")
     out = None
-    for _ in range(deepest):
+    while True:
         found = level.groupBy("path", class_of(F.col("value")).alias("class")).agg(F.count("*").alias("rows"))
         out = found if out is None else out.unionByName(found)
         objects = level.where(F.schema_of_variant("value").startswith("OBJECT"))
@@ -149,6 +152,9 @@ def paths(df: DataFrame, column: str, deepest: int = 32) -> DataFrame:
             break
         inner = spark.tvf.variant_explode(F.col("value").outer()).select("key", F.col("value").alias("inner"))
         level = objects.lateralJoin(inner).select(F.concat("path", F.array("key")).alias("path"), F.col("inner").alias("value"))
+        folder = shared_folder(spark)
+        level.write.parquet(folder)
+        level = spark.read.schema(level.schema).parquet(folder)
     return out
 
 

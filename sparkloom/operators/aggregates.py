@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import decimal
 import fractions
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -197,7 +198,10 @@ class Group:
         s = self._sym(column)
         x = F.when(s.column == 0, F.lit(0.0).cast(s.kind)).otherwise(s.column) if isinstance(s.kind, FLOATS) else s.column
         x = F.when(~F.isnan(s.column), x) if isinstance(s.kind, FLOATS) else x
-        return self._named(("approximate_count_distinct", s.name, error), LONG, F.approx_count_distinct(self._when(x), error))
+        # a sketch of distinct hashes keeps them all while they are few, and then their number is exact
+        size = min(26, max(6, math.ceil(2 * math.log2(1 / error))))
+        x = F.when(x.isNotNull(), F.xxhash64(x)) if not isinstance(s.kind, (T.LongType, T.IntegerType, T.StringType)) else x
+        return self._named(("approximate_count_distinct", s.name, error), LONG, F.coalesce(F.theta_sketch_estimate(F.theta_sketch_agg(self._when(x), F.lit(size))), F.lit(0)).cast("long"))
 
     # -- distributions -------------------------------------------------------------------
 

@@ -25,6 +25,7 @@ class KeyCursor:
         self._kinds = [f.dataType for f in scan._df.select(*places).schema]
         self._entries: DataFrame = scan._df.select(by.column.alias("key"), *places).where(F.col("key").isNotNull())
         self._at = None
+        self._counted = None
 
     # -- where it stands -------------------------------------------------------------------
 
@@ -117,5 +118,23 @@ class KeyCursor:
 
     def seek_rank(self, rank: int) -> bool:
         """To the entry with so many before it."""
-        self._at = self._entries.orderBy("key", *self._places).offset(rank).limit(1).first() if rank >= 0 else None
+        self._at = None
+        if rank < 0:
+            return False
+        for n, first, last in self._ranges():
+            if rank < n:
+                place = F.struct("key", *self._places)
+                own = self._entries.where((F.col("key") >= self._value(first["key"])) & (F.col("key") <= self._value(last["key"])))  # what files are pruned by
+                ends = [F.struct(*(literal(at[c], k, c).alias(c) for c, k in zip(("key", *self._places), (self._by.kind, *self._kinds), strict=True))) for at in (first, last)]
+                self._at = own.where((place >= ends[0]) & (place <= ends[1])).orderBy("key", *self._places).offset(rank).limit(1).first()
+                break
+            rank -= n
         return self._at is not None
+
+    def _ranges(self) -> list[tuple]:
+        """How many entries there are in each range of them, with its first and last; counted once."""
+        if self._counted is None:
+            place = F.struct("key", *self._places)
+            dealt = self._entries.repartitionByRange("key", *self._places).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last"))
+            self._counted = sorted((tuple(r[1:]) for r in dealt.collect()), key=lambda r: tuple(r[1]))  # one row a partition
+        return self._counted

@@ -266,8 +266,23 @@ class Scan:
         """Rows one by one, a partition at a time."""
         return self.df.toLocalIterator()
 
-    def batches(self) -> list:
-        return self.df.toArrow().to_batches()
+    def batches(self, rows: int | None = None, ahead: bool = False) -> Iterator:
+        """Arrow batches of up to so many rows, a partition of the result at a time; ahead: the next partition is made while one is read.
+
+        In row order where an order was asked for; no more than a partition (two, ahead) is on this machine."""
+        import pyarrow as pa
+
+        def sent(batches):
+            for batch in batches:
+                for at in range(0, batch.num_rows, rows or max(batch.num_rows, 1)):
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, batch.schema) as writer:
+                        writer.write_batch(batch.slice(at, rows or batch.num_rows))
+                    yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch"])
+
+        df = self._df.select(*(F.col(f"`{c}`") for c in self.columns)) if self._how == "ordered" else self.df
+        for r in df.mapInArrow(sent, "batch binary").toLocalIterator(prefetchPartitions=ahead):
+            yield pa.ipc.open_stream(bytes(r.batch)).read_next_batch()
 
     def aggregate(self, ask: Callable[[Group], dict[str, Result]]) -> DataFrame:
         """Several answers over all rows in one pass: a row of the named results."""

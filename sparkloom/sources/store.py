@@ -8,6 +8,12 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+from ..errors import UnsupportedError
+
+#: Schemes by the way in which a name is taken once: a rename (or link) that never overwrites, a create that never does,
+#: a create on a condition.  Others are refused: their renames copy, and two writers could both win.
+RENAMES, CREATES, CONDITIONAL = ("file", "hdfs", "viewfs"), ("abfs", "abfss", "gs"), ("s3a",)
+
 
 class Store:
     """Whole small files below a root: read, list, remove, and write one only if its name is free."""
@@ -51,6 +57,11 @@ class Store:
         """Writes the file whole, or not at all when another writer was first."""
         if self.exists(name):
             return False
+        scheme = self.root.split(":", 1)[0]
+        if scheme in CREATES or scheme in CONDITIONAL:
+            return self._create(name, text, scheme in CONDITIONAL)
+        if scheme not in RENAMES:
+            raise UnsupportedError(f"{scheme}: no way is known to write a file only where there is none")
         temporary = f"_incoming/{uuid.uuid4().hex}"  # apart from what others list
         self._write(temporary, text)
         self._fs.mkdirs(self._path(os.path.dirname(name)))
@@ -74,6 +85,23 @@ class Store:
             if self.exists(temporary):
                 self._fs.delete(self._path(temporary), False)
 
+    def _create(self, name: str, text: str, conditional: bool) -> bool:
+        """Creates the file by the store's own condition, which it checks when the whole is there."""
+        builder = self._fs.createFile(self._path(name)).overwrite(False).recursive()
+        if conditional:
+            builder = builder.must("fs.option.create.conditional.overwrite", True)
+        try:
+            stream = builder.build()
+            stream.write(bytearray(text.encode()))
+            stream.close()
+            return True
+        except Exception as error:
+            if "IllegalArgument" in str(error):
+                raise UnsupportedError("this store's client has no conditional create") from error
+            if self.exists(name):
+                return self.get(name) == text and "FileAlreadyExists" not in str(error)  # written, and its answer lost
+            raise
+
     def put(self, name: str, text: str) -> None:
         self._write(name, text)
 
