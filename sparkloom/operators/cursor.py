@@ -121,12 +121,17 @@ class KeyCursor:
         self._at = None
         if rank < 0:
             return False
+        place = F.struct("key", *self._places)
         for n, first, last in self._ranges():
             if rank < n:
-                place = F.struct("key", *self._places)
-                own = self._entries.where((F.col("key") >= self._value(first["key"])) & (F.col("key") <= self._value(last["key"])))  # what files are pruned by
-                ends = [F.struct(*(literal(at[c], k, c).alias(c) for c, k in zip(("key", *self._places), (self._by.kind, *self._kinds), strict=True))) for at in (first, last)]
-                self._at = own.where((place >= ends[0]) & (place <= ends[1])).orderBy("key", *self._places).offset(rank).limit(1).first()
+                own = self._entries
+                for at, low in ((first, True), (last, False)):
+                    if at["key"] == at["key"]:  # a number's own bound is one that files are pruned by
+                        own = own.where(F.col("key") >= self._value(at["key"]) if low else F.col("key") <= self._value(at["key"]))
+                    key = self._value(at["key"]) if at["key"] == at["key"] else F.lit(at["key"])
+                    end = F.struct(key.cast(self._by.kind).alias("key"), *(literal(at[p], k, p).cast(k).alias(p) for p, k in zip(self._places, self._kinds, strict=True)))
+                    own = own.where(place >= end if low else place <= end)
+                self._at = own.orderBy("key", *self._places).offset(rank).limit(1).first()
                 break
             rank -= n
         return self._at is not None

@@ -45,6 +45,39 @@ def compact(dataset: Dataset, target_rows: int = 1 << 20, fan_in: int = 8) -> Co
     return done
 
 
+def level_plan(dataset: Dataset) -> list[list[Object]]:
+    """Levels: within a partition, all objects of level 0 with those of level 1 whose keys they reach."""
+    if not dataset.layout.sort_key:
+        raise UnsupportedError("levels need a sort key")
+    by: dict[str | None, list[Object]] = {}
+    for o in dataset.objects():
+        by.setdefault(o.partition, []).append(o)
+    key = dataset.layout.sort_key[0]
+    plan = []
+    for _, own in sorted(by.items(), key=lambda x: str(x[0])):
+        new = [o for o in own if o.level == 0]
+        ranges = [dataset._summaries(o).get(key, (None, None))[:2] for o in new]
+        unknown = any(least is None for least, _ in ranges)
+
+        def reached(o: Object, ranges=ranges, unknown=unknown) -> bool:
+            least, most = dataset._summaries(o).get(key, (None, None))[:2]
+            return unknown or least is None or any(least <= b and a <= most for a, b in ranges)
+
+        if new:
+            plan.append(new + [o for o in own if o.level > 0 and reached(o)])
+    return plan
+
+
+def compact_levels(dataset: Dataset, target_rows: int = 1 << 20) -> Commit:
+    """New objects and those of level 1 that they reach, as objects of level 1 that share no key; the rest is not touched."""
+    done = Commit(ALREADY_THERE, dataset.version)
+    for group in level_plan(dataset):
+        files = max(1, -(-sum(o.rows - o.marked for o in group) // target_rows))
+        made = dataset._write(dataset._read(group), 1, files=files)
+        done = _swap(dataset, "level", group, [o.key for o in group], made)
+    return done
+
+
 def consolidate(dataset: Dataset, partition: str | None, target_rows: int = 1 << 20) -> Commit:
     """A calm partition as objects that share no key: cut by range of the sort key."""
     own = [o for o in dataset.objects() if o.partition == partition]

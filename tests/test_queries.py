@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from sparkloom.plans import catalogue
+from sparkloom.plans import cases, catalogue  # noqa: F401
 
 
 @pytest.fixture(scope="module")
