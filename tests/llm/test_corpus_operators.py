@@ -750,7 +750,9 @@ def brute_near(docs) -> dict:
     return {d: find(d) for d in sets}
 
 
-def test_near_copies(spark):
+@pytest.mark.parametrize("block", [2, 1024])
+def test_near_copies(spark, block, monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK", block)
     """Edits of many bits, chains, a large group, texts that share less, short and empty ones."""
     rng = random.Random(3)
     base = [[f"w{rng.randrange(5000)}" for _ in range(120)] for _ in range(12)]
