@@ -310,12 +310,12 @@ def fit(documents: DataFrame) -> tuple[Boosted, np.ndarray] | None:
     hashed = documents.select(F.xxhash64("doc_id", "text").alias("h"), "text")
     n = hashed.agg(F.approx_count_distinct("h", 0.02)).first()[0]
     share, taught = 4 * SAMPLE / max(n, 1), []
-    while len(taught) < SAMPLE:
-        different = hashed.where(common.under("h", share)).groupBy("h").agg(F.min("text").alias("text"))
-        taught = different.mapInArrow(work, "h long, x binary, y binary").orderBy("h").limit(SAMPLE).collect()
-        if share >= 1:
+    while True:
+        found = hashed.where(common.under("h", share)).mapInArrow(work, "h long, x binary, y binary")
+        taught = found.groupBy("h").agg(F.min(F.struct("x", "y")).alias("own")).select("h", "own.x", "own.y").orderBy("h").limit(SAMPLE).collect()
+        if len(taught) == SAMPLE or share >= 1:
             break
-        share *= 8
+        share *= max(8, 2 * SAMPLE / max(len(taught), 1))
     x = np.frombuffer(b"".join(r.x for r in taught), np.uint8).reshape(-1, FEATURES)
     y = np.frombuffer(b"".join(r.y for r in taught), np.uint8)
     apart = np.concatenate([np.full(len(r.y), r.h % 4 == 0) for r in taught]) if taught else np.zeros(0, bool)
