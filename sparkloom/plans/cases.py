@@ -16,6 +16,7 @@ from ..operators.scan import Scan
 from ..sources import files, maintenance
 from ..sources.dataset import DATA, Dataset, DatasetSet, Layout
 from ..sources.shared import shared_folder
+from ..streaming import ingest
 from .catalogue import NULLED, STATUS, by_status, n, nulled, orders_dataset, query, table
 
 # -- predicates and semi-joins ---------------------------------------------------------------
@@ -120,6 +121,28 @@ def answers_of_nothing(spark, sf):
     return out.select(F.col("none").isNull().alias("none"), F.round("top", 6).alias("top"))
 
 
+@query("SELECT l_suppkey, count(*) AS n, round(sum(l_quantity), 4) AS q FROM lineitem GROUP BY 1")
+def group_suppkey(spark, sf):
+    out = table(spark, sf, "lineitem").group_by("l_suppkey").select(lambda g: {"l_suppkey": g.key, "n": g.count(), "q": g.sum("l_quantity")})
+    return out.withColumn("q", F.round("q", 4))
+
+
+@query("SELECT l_orderkey, count(*) AS n, max(l_linenumber) AS last FROM lineitem GROUP BY 1")
+def group_orderkey(spark, sf):
+    return table(spark, sf, "lineitem").group_by("l_orderkey").select(lambda g: {"l_orderkey": g.key, "n": g.count(), "last": g.max("l_linenumber")})
+
+
+@query("SELECT l_returnflag, l_linestatus, l_linenumber, l_quantity, l_discount, l_tax, count(*) AS n FROM lineitem GROUP BY ALL")
+def group_six_keys(spark, sf):
+    keys = ("l_returnflag", "l_linestatus", "l_linenumber", "l_quantity", "l_discount", "l_tax")
+    return table(spark, sf, "lineitem").group_by(*keys).select(lambda g: {**{k: g.key[i] for i, k in enumerate(keys)}, "n": g.count()})
+
+
+@query("SELECT min(l_extendedprice) AS least, max(l_extendedprice) AS largest, min(l_shipdate) AS first_day, max(l_shipdate) AS last_day FROM lineitem")
+def least_and_largest(spark, sf):
+    return table(spark, sf, "lineitem").aggregate(lambda g: {"least": g.min("l_extendedprice"), "largest": g.max("l_extendedprice"), "first_day": g.min("l_shipdate"), "last_day": g.max("l_shipdate")})
+
+
 # -- variants -----------------------------------------------------------------------------------
 
 
@@ -231,6 +254,22 @@ def refusals(spark, sf):
     return spark.createDataFrame(out, "what string, error string")
 
 
+# -- streams --------------------------------------------------------------------------------------
+
+
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS bucket, event_type, count(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 6 HOUR GROUP BY ALL")
+def stream_closing_groups(spark, sf):
+    """Days of a stream, given out once no row may come for them any more."""
+    folder = shared_folder(spark)
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    spark.read.parquet(f"{sf}/events.parquet").repartition(1).write.parquet(f"{folder}/in")
+    stream = ingest.files_stream(spark, f"{folder}/in", schema).withColumn("ts", F.expr("timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts))"))
+    closed = ingest.closing_groups(stream, "ts", "1 day", "6 hours", "event_type", n=F.count("*"))
+    closed = closed.withColumn("bucket", F.convert_timezone(F.lit(spark.conf.get("spark.sql.session.timeZone")), F.lit("UTC"), F.col("bucket").cast("timestamp_ntz")))
+    closed.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(closed.schema).parquet(f"{folder}/out").select("bucket", "event_type", "n")
+
+
 # -- walks ----------------------------------------------------------------------------------------
 
 
