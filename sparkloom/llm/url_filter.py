@@ -27,12 +27,16 @@ from . import common
 
 #: host/path rules with their verdicts.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-#: Globs that block where no rule fits: '*' is any run of bytes, '?' any one byte.
+#: Globs that block where no rule fits: '*' is any run of characters, '?' any one character.
 GLOBS = ["ads.*", "*.ads.*", "adserver.*", "*/ads/*", "*/adserver/*", "*/banners/*", "*/wp-login.php*", "*/wp-admin/*", "*/cgi-bin/*", "*/cart/checkout*", "*casino*", "*.exe", "*.zip", "*.apk", "*/track?r/*", "*/login"]
 
 
+#: Bytes that are in a UTF-8 character but do not begin one.
+FURTHER = np.arange(256) & 0xC0 == 0x80
+
+
 class Automaton:
-    """Patterns as tokens: a byte, None for '?', '*' for any run, '~' for any run without '/'."""
+    """Patterns as tokens: a byte, None for one character, '*' for any run, '~' for any run without '/'."""
 
     def __init__(self, patterns: list[list]) -> None:
         states = [1 + sum(t not in ("*", "~") for t in p) for p in patterns]
@@ -50,7 +54,9 @@ class Automaton:
                     self._set(self.loop, fits, bit)
                 else:
                     bit += 1
-                    self._set(self.step, slice(None) if t is None else t, bit)
+                    self._set(self.step, ~FURTHER if t is None else t, bit)
+                    if t is None:  # the further bytes of a character stay where its first has led
+                        self._set(self.loop, FURTHER, bit)
             self.final.append(bit)
             at += n
 

@@ -232,7 +232,7 @@ def test_automaton_against_regex():
 
     rng = random.Random(1)
     globs = ["".join(rng.choice("ab/*?") for _ in range(rng.randrange(1, 9))) for _ in range(40)]
-    texts = ["".join(rng.choice("ab/") for _ in range(rng.randrange(0, 12))) for _ in range(200)]
+    texts = ["".join(rng.choice("ab/\u00e9\U0001f600") for _ in range(rng.randrange(0, 12))) for _ in range(200)]
     import pyarrow as pa
 
     got = url_filter.Automaton([url_filter.glob_tokens(g) for g in globs]).run(*common.flat(pa.array(texts)))
@@ -348,6 +348,52 @@ def test_toxicity_learns_and_holds_out(spark, odd):
     assert held and np.mean([a == b for a, b in held]) >= 0.8
 
 
+def test_label_model_against_plain_loops():
+    """One round of expectation and maximisation, written out."""
+    rng = random.Random(5)
+    cast = [[rng.choice((-1, 0, 1)) for _ in range(3)] for _ in range(40)]
+    gold = [rng.random() < 0.4 for _ in cast]
+    post = [toxicity.GIVEN if g else 1 - toxicity.GIVEN for g in gold]
+    mean = sum(post) / len(post)
+    rate = {}
+    for j in range(3):
+        for v in (-1, 0, 1):
+            rate[j, v] = [0.5 + sum(w for w, row in zip(part, cast, strict=True) if row[j] == v) for part in (post, [1 - p for p in post])]
+    total = {j: [sum(rate[j, v][k] for v in (-1, 0, 1)) for k in (0, 1)] for j in range(3)}
+    expected = {j: [(rate[j, 1][k] - rate[j, -1][k]) / total[j][k] for k in (0, 1)] for j in range(3)}
+    error = [[row[j] - p * expected[j][0] - (1 - p) * expected[j][1] for j in range(3)] for row, p in zip(cast, post, strict=True)]
+    size = [math.sqrt(sum(e[j] ** 2 for e in error) / len(error)) + 1e-9 for j in range(3)]
+    corr = [[sum(e[i] * e[j] for e in error) / len(error) / size[i] / size[j] for j in range(3)] for i in range(3)]
+    weight = [1 / (1 + sum(max(corr[i][j] - (i == j), 0) for j in range(3))) for i in range(3)]
+    want = []
+    for row, g in zip(cast, gold, strict=True):
+        z = math.log(mean / (1 - mean)) + (1 if g else -1) * math.log(toxicity.GIVEN / (1 - toxicity.GIVEN))
+        z += sum(weight[j] * (math.log(rate[j, row[j]][0] / total[j][0]) - math.log(rate[j, row[j]][1] / total[j][1])) for j in range(3))
+        want.append(1 / (1 + math.exp(-z)))
+    got, _, _ = toxicity.label_model(np.array(cast), np.array(gold), rounds=1)
+    assert got == pytest.approx(want, rel=1e-6)
+
+
+def test_toxicity_scores_against_plain_loops(spark, odd):
+    """Scores of whole texts by the lexicon and weights, word by word."""
+    table = common.table(spark, odd, "documents", "doc_id", "text")
+    labels = common.table(spark, odd, "labels", "doc_id", "toxic").selectExpr("doc_id", "cast(toxic AS int) toxic")
+    lexicon, toxic, weights = toxicity.fit(table, labels)
+    got = {r.doc_id: r.score for r in rows(toxicity.score_texts(table, labels))}
+    for d, t, _ in documents(odd):
+        if d in (None, 208, 209):
+            continue
+        words = re.sub("[\x00-\x60\x7b-\x7f]", " ", lower(t)).split(" ")
+        words = [w.encode() for w in words if w]
+        here = {x for w in words for x in [w, *(b"^" + w[:n] for n in range(4, 9) if n < len(w))] if x in lexicon}
+        hits = sum(any(lexicon.get(x, toxic) < toxic for x in [w, *(b"^" + w[:n] for n in range(4, 9) if n < len(w))]) for w in words)
+        letters = sum(map(len, words)) or 1
+        t = t or ""
+        shapes = [min(1, 2 * toxicity.capitals(t)), min(1, 20 * t.count("!") / letters), min(1, 20 * t.count("?") / letters), math.log1p(hits) / 3, min(1, 50 * hits / (len(words) + 1))]
+        z = sum(weights[lexicon[x]] for x in here) + sum(w * s for w, s in zip(weights[len(lexicon) :], shapes, strict=False)) + weights[-1]
+        assert got[d] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-5), d
+
+
 def test_capitals_count_wherever_they_stand():
     quiet, loud = "abcd efgh " * 400, "ABCD EFGH " * 100
     values = [toxicity.shape(t, toxicity.words_of(t), 0)[0] for t in (loud + quiet, quiet + loud, quiet[:2000] + loud + quiet[2000:])]
@@ -523,6 +569,37 @@ def test_language_accuracy(spark):
     assert np.mean([r.rejected for r in got.values()]) < 0.01
 
 
+def test_vectors_and_centroids_against_plain_loops():
+    """Hashed n-grams counted one by one, and the nearest centroid by the cosine of each."""
+    import pyarrow as pa
+
+    texts = ["The  quick, brown f\u00e9e!", "a", "", "xyz xyz 123 xyz", "\u00c9T\u00c9 \u00fcber"]
+    rng = np.random.default_rng(1)
+    idf = rng.random(langid.DIM) + 0.5
+    got = langid.vectors(pa.array(texts), idf)
+    for t, v in zip(texts, got, strict=True):
+        data = bytes(b if 97 <= b <= 122 or b > 127 else 32 for b in t.lower().encode())
+        data = re.sub(b" +", b" ", data)
+        tally = Counter()
+        for n in (1, 2, 3):
+            for i in range(len(data) - n + 1):
+                code = int.from_bytes(data[i : i + n], "big") + (n << 24) & 0xFFFFFFFF
+                tally[code * 0x9E3779B1 % 2**32 >> 32 - 11] += 1
+        want = np.zeros(langid.DIM)
+        for place, n in tally.items():
+            want[place] = math.log1p(n) * idf[place]
+        want /= math.sqrt((want**2).sum()) or 1
+        assert v == pytest.approx(want, abs=1e-6)
+    samples = {lang: (langid.unit(rng.random((9, langid.DIM))), np.full(9, 5)) for lang in ("aa", "bb")}
+    model = langid.Model(idf, samples)
+    langs, scores, _ = model.predict(pa.array(texts))
+    for t, lang, score in zip(texts, langs, scores, strict=True):
+        v = langid.vectors(pa.array([t]), model.idf)[0]
+        cosines = [(sum(a * b for a, b in zip(v, c, strict=True)), -i) for i, c in enumerate(model.centres)]
+        best = max(cosines)
+        assert (lang, score) == (("und", 0) if not any(map(str.isalpha, t)) else (model.languages[model.of[-best[1]]], pytest.approx(best[0])))
+
+
 def test_rejection_is_by_distance():
     import pyarrow as pa
 
