@@ -8,10 +8,12 @@ positional bytes are tallied, pairs with fewer than six are dropped, the rest ve
 bit by bit.
 
 Equal fingerprints are one node from the start, so exact copies never meet as pairs.  A
-posting list longer than `longest` is not paired: its members, found exactly by a count, are
-linked through the 64-bit words at distance one from them instead - two fingerprints
-differ in at most two bits just when such words coincide, and at most 65 fingerprints
-have one in common - so large groups of near copies cost 65 rows a member, not all pairs.
+posting list longer than `longest`, found by a count, is not paired: its members are posted
+again under more of their positional bytes, six of the eight (the four of the list and
+each two of the others).  Whoever shares them has reached the guaranteed minimum, and no
+such list holds over 65536 distinct fingerprints, as they differ in two bytes only.  In it
+the partners within the distance are looked up bit by bit, and each member is linked
+once, to the least that it reaches; so large groups of near copies cost no pairs.
 
 Defined results: null or wordless texts have fingerprint zero and link like any other;
 texts of fewer words than a shingle are one shingle; repeated rows get equal results;
@@ -35,6 +37,7 @@ from .components import components
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 LONGEST = 64
 GROUPS = [(0, 1), (2, 3), (4, 5), (6, 7)]
+SIXES = list(combinations(range(8), 8 - DISTANCE))
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -83,17 +86,41 @@ def posting(fp: str = "fp") -> list:
     return keys
 
 
-def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within the posting lists of (key, fp) rows sorted by key; a list never ends a batch unseen."""
-    least = 8 - DISTANCE
-    rest = [np.zeros(0, np.int64), np.zeros(0, np.uint64)]
+def six_bytes(groups: tuple[int, int], fp: str = "fp") -> list:
+    """The keys of a fingerprint by the positional bytes of two groups and each two others: which, and their values."""
+    held = [p for g in groups for p in GROUPS[g]]
+    keys = []
+    for more in combinations([p for p in range(8) if p not in held], 8 - DISTANCE - len(held)):
+        places = sorted([*held, *more])
+        key = F.lit(SIXES.index(tuple(places)) << 48).cast("long")
+        for k, p in enumerate(places):
+            key = key.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, 8 * p).bitwiseAND(0xFF).cast("long"), 8 * k))
+        keys.append(key)
+    return keys
+
+
+def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(key, fp) rows sorted by key as arrays of whole posting lists; a list never ends a batch unseen."""
+    rest: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in _and_end(batches):
         if batch is not None:
-            rest = [np.concatenate([rest[0], np.asarray(batch.column(0))]), np.concatenate([rest[1], np.asarray(batch.column(1)).view(np.uint64)])]
-        key, fp = rest
-        whole = len(key) if batch is None else int(np.searchsorted(key, key[-1])) if len(key) else 0
-        rest = [key[whole:], fp[whole:]]
-        key, fp = key[:whole], fp[:whole]
+            if not batch.num_rows:
+                continue
+            rest.append((np.asarray(batch.column(0)), np.asarray(batch.column(1)).view(np.uint64)))
+            if rest[0][0][0] == rest[-1][0][-1]:
+                continue  # still in one list
+        if not rest:
+            continue
+        key, fp = (np.concatenate(x) for x in zip(*rest, strict=True))
+        whole = len(key) if batch is None else int(np.searchsorted(key, key[-1]))
+        rest = [(key[whole:], fp[whole:])] if whole < len(key) else []
+        yield key[:whole], fp[:whole]
+
+
+def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within the posting lists of (key, fp) rows sorted by key."""
+    least = 8 - DISTANCE
+    for key, fp in lists(batches):
         found = []
         for step in range(1, len(key)):
             i = np.flatnonzero(key[step:] == key[:-step])
@@ -109,6 +136,48 @@ def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
+def least_reached(fp: np.ndarray) -> np.ndarray:
+    """Of the distinct, sorted fingerprints of one list: the place of the least that each reaches by steps within the distance.
+
+    They differ in the bits of two bytes at most, so the partners of all are looked up for each change of one or two such bits."""
+    varied = int(np.bitwise_or.reduce(fp ^ fp[0]))
+    bits = [1 << i for i in range(64) if varied >> i & 1]
+    pairs = []
+    for change in [*bits, *(a | b for a, b in combinations(bits, 2))]:
+        other = fp ^ np.uint64(change)
+        at = np.minimum(np.searchsorted(fp, other), len(fp) - 1)
+        i = np.flatnonzero((fp[at] == other) & (other > fp))
+        pairs.append((i, at[i]))
+    reached = np.arange(len(fp))
+    if not pairs:
+        return reached
+    u, v = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    while True:
+        low = np.minimum(reached[u], reached[v])
+        after = reached.copy()
+        for ends in (u, v, reached[u], reached[v]):
+            np.minimum.at(after, ends, low)
+        while (after[after] != after).any():
+            after = after[after]
+        if (after == reached).all():
+            return reached
+        reached = after
+
+
+def spanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that connect the posting lists of six bytes: (key, fp) rows sorted by both, no row twice."""
+    for key, fp in lists(batches):
+        edge = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+            if hi - lo < 2:
+                continue
+            own = np.sort(fp[lo:hi])
+            root = least_reached(own)
+            u = np.flatnonzero(root != np.arange(len(own)))
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(own[root[u]].view(np.int64)), pa.array(own[u].view(np.int64))], names=["u", "v"])
+
+
 def _and_end(batches: Iterator) -> Iterator:
     yield from batches
     yield None
@@ -124,10 +193,10 @@ def links(nodes: DataFrame, longest: int = LONGEST) -> DataFrame:
     direct = met.repartition(common.width(spark), "key").sortWithinPartitions("key").mapInArrow(paired, "u long, v long")
     if hot.isEmpty():
         return direct
-    members = index.join(hot, "key", "left_semi").select("fp").distinct()
-    near = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i).cast("long")) for i in range(64)])
-    words = members.select(F.explode(near).alias("word"), "fp").groupBy("word").agg(F.min("fp").alias("u"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
-    return direct.unionByName(words.select("u", F.explode("all").alias("v")).where("u <> v"))
+    further = F.array(*[F.array(*six_bytes(two)) for two in combinations(range(len(GROUPS)), 2)])
+    which = F.shiftrightunsigned("key", 32).cast("int") + 1
+    longer = index.join(hot, "key", "left_semi").select(F.explode(F.element_at(further, which)).alias("key"), "fp").distinct()
+    return direct.unionByName(longer.repartition(common.width(spark), "key").sortWithinPartitions("key").mapInArrow(spanned, "u long, v long"))
 
 
 def groups(documents: DataFrame, size: int = SHINGLE, seed: int = SEED, longest: int = LONGEST) -> DataFrame:

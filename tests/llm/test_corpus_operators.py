@@ -789,6 +789,38 @@ def test_simhash(spark, odd, longest):
         assert all(re.fullmatch("[0-9a-f]{16}", r.fingerprint) for r in run(spark, odd, 9))
 
 
+@pytest.mark.parametrize("longest", [2, 64])
+def test_links_of_long_posting_lists(spark, longest):
+    """One group of near fingerprints in one another's lists, and others that share six bytes but not the distance, against all pairs."""
+    rng = random.Random(4)
+    base = rng.getrandbits(64)
+    fps = {base ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(500)}
+    fps |= {base ^ (rng.getrandbits(16) << 48) for _ in range(300)} | {base ^ (rng.getrandbits(8) << 8 | rng.getrandbits(8) << 40) for _ in range(300)}
+    fps |= {rng.getrandbits(64) for _ in range(200)} | {(base & ~0xFFFFFFFF) | rng.getrandbits(32) for _ in range(200)}
+    fps = sorted(fps)
+    root = list(range(len(fps)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    close = {(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2}
+    for i, j in close:
+        root[find(i)] = find(j)
+    want = [find(i) for i in range(len(fps))]
+    at = {fp: i for i, fp in enumerate(fps)}
+    signed = [(fp - (1 << 64) if fp >> 63 else fp,) for fp in fps]
+    got = rows(simhash.links(spark.createDataFrame(signed, "fp long"), longest))
+    assert all(want[at[r.u % (1 << 64)]] == want[at[r.v % (1 << 64)]] for r in got)
+    root = list(range(len(fps)))
+    for r in got:
+        root[find(at[r.u % (1 << 64)])] = find(at[r.v % (1 << 64)])
+    assert len({find(i) for i in range(len(fps))}) == len(set(want))
+    assert len(got) < 36 * len(fps)
+
+
 def test_components_of_long_chains(spark):
     from sparkloom.llm.components import components
 
