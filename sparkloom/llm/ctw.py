@@ -11,8 +11,10 @@ contexts, each with its posterior weight, and adds up log10 probabilities; divid
 bytes, that is the code length per byte.
 
 The grams and words of the corpus stay distributed: chunks of documents send their distinct
-grams and words to the buckets that hold the counts, and get answers back.  Only the two
-shallowest depths (at most 257 x 255 nodes) are gathered and broadcast.
+grams and words to the buckets that hold the counts, and get answers back.  Chunks are dealt
+among salts, MERGED chunks each.  The distinct keys of each salt's part of a bucket are put together
+first; the model answers these once, and the answered keys serve the salt's chunks, so that
+no salt gets a copy of the model, only of what it asks.  Only the two shallowest depths (at most 257 x 255 nodes) are gathered and broadcast.
 
 Beside it, the base score is the add-one unigram score of the same tokens.
 
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -168,8 +170,8 @@ def gathered(batches: Iterator[pa.RecordBatch], buckets: int, salts: int) -> Ite
             yield from _emit([(b, chunk_id % salts, kind, chunk_id, x) for b, x in dealt(keys, kind, buckets, n)], REQUEST)
 
 
-def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (bucket, salt, kind) rows in order: one row for each, with the sums."""
+def merged(batches: Iterator[pa.RecordBatch], asked_too: bool = False) -> Iterator[pa.RecordBatch]:
+    """Of (bucket, salt, kind) rows in order: one row for each, with the sums; asked_too keeps keys that no training document has."""
     at, keys, n = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -187,7 +189,7 @@ def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal keys, n
         if at is not None:
             fold()
-            yield from _emit([(*at, int(n.sum()), len(keys), packed(rolled(keys), n))], MODEL)
+            yield from _emit([(*at, int(n.sum()), int((n > 0).sum()), packed(rolled(keys), n))], MODEL)
         keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     for bucket, salt, kind, blob in _rows(batches):
@@ -196,7 +198,8 @@ def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = bucket, salt, kind
         steps, times = unpacked(blob)
         own = np.cumsum(steps)
-        held.append((own[times > 0], times[times > 0]))
+        used = times >= (0 if asked_too else 1)
+        held.append((own[used], times[used]))
         if sum(len(k) for k, _ in held) > 1 << 20:
             fold()
     yield from flush()
@@ -315,34 +318,45 @@ def log10_bytes(codes: np.ndarray, levels: dict, mixed: tuple[np.ndarray, np.nda
 
 
 def answers(batches: Iterator[pa.RecordBatch], mixed) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of bucket, salt, kind, chunk, the model (chunk -1) first: for each request its keys' counts or logs."""
+    """Of rows in order of bucket, salt, kind, chunk, the counts (chunk -1) first: for each request its keys with their counts or logs."""
+
+    def value(kind: int, every: np.ndarray, codes: np.ndarray, n: np.ndarray) -> np.ndarray:
+        if kind == GRAMS:
+            return log10_bytes(every, subtrees(codes, n)[0] if len(codes) else {}, mixed.value).astype(np.float32)
+        i = np.minimum(np.searchsorted(codes, every), max(len(codes) - 1, 0))
+        return np.where(codes[i] == every, n[i], 0) if len(codes) else np.zeros(len(every), np.int64)
+
+    yield from replied(batches, value, lambda keys, value: packed(rolled(keys), value))
+
+
+def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in that order, the answered keys (chunk -1) first: for each request what its keys were answered."""
+    return replied(batches, lambda _, every, keys, value: value[np.searchsorted(keys, every)], lambda _, value: packed(value))
+
+
+def replied(batches: Iterator[pa.RecordBatch], value, reply) -> Iterator[pa.RecordBatch]:
+    """Requests of one (bucket, salt, kind) answered together, MERGED at once, by value(kind, keys, the two arrays of the first row)."""
     at, held = None, []
-    model = None
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    first = none
 
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal held
         if not held:
             return
-        bucket, _, kind = at
         keys = [np.cumsum(unpacked(b)[0]) for _, b in held]  # their counts are the model's affair
         every = np.unique(np.concatenate(keys))
-        codes, n = model if model is not None else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        if kind == WORDS:
-            i = np.minimum(np.searchsorted(codes, every), max(len(codes) - 1, 0))
-            value = np.where(codes[i] == every, n[i], 0) if len(codes) else np.zeros(len(every), np.int64)
-        else:
-            levels = subtrees(codes, n)[0] if len(codes) else {}
-            value = log10_bytes(every, levels, mixed.value).astype(np.float32)
-        yield from _emit([(bucket, 0, kind, chunk, packed(value[np.searchsorted(every, k)])) for (chunk, _), k in zip(held, keys, strict=True)], REQUEST)
+        found = value(at[2], every, *first)
+        yield from _emit([(*at, chunk, reply(k, found[np.searchsorted(every, k)])) for (chunk, _), k in zip(held, keys, strict=True)], REQUEST)
         held = []
 
     for bucket, salt, kind, chunk, blob in _rows(batches):
         if (bucket, salt, kind) != at:
             yield from flush()
-            at, model = (bucket, salt, kind), None
+            at, first = (bucket, salt, kind), none
         if chunk < 0:
-            steps, n = unpacked(blob)
-            model = np.cumsum(steps), n
+            steps, values = unpacked(blob)
+            first = np.cumsum(steps), values
         else:
             held.append((chunk, blob))
             if len(held) >= MERGED:
@@ -404,19 +418,22 @@ def score_texts(documents: DataFrame, folds: int = FOLDS, held_out: int = HELD_O
     def sorted_by(df: DataFrame, *keys: str) -> DataFrame:
         return df.repartition(buckets, "bucket", "salt").sortWithinPartitions(*keys)
 
-    def summed(df: DataFrame) -> DataFrame:
-        return sorted_by(df.select("bucket", "salt", "kind", "blob"), "bucket", "salt", "kind").mapInArrow(merged, MODEL)
+    def summed(df: DataFrame, asked_too: bool = False) -> DataFrame:
+        return common.stored(sorted_by(df.select("bucket", "salt", "kind", "blob"), "bucket", "salt", "kind").mapInArrow(lambda b: merged(b, asked_too), MODEL))
+
+    def asking(df: DataFrame, chunk: Column) -> DataFrame:
+        return df.select("bucket", F.lit(0).alias("salt"), "kind", chunk.cast("long").alias("chunk"), "blob")
 
-    model = summed(asked)
-    if salts > 1:
-        model = summed(model.withColumn("salt", F.lit(0)))
-    model = common.stored(model)
+    parts = summed(asked, True)
+    model = summed(parts.withColumn("salt", F.lit(0)))
     words = model.where(F.col("kind") == WORDS).agg(F.sum("total"), F.sum("distinct")).first()
     total, distinct = words[0] or 0, words[1] or 0
     upper = model.where(F.col("kind") == GRAMS).select("blob").mapInArrow(upper_sums, UPPER).groupBy("context", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("log"))
     mixed = spark.sparkContext.broadcast(upper_mix(upper.collect()))  # 256 x 255 rows at most
-    given = model.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "kind", F.lit(-1).cast("long").alias("chunk"), "blob")
-    replies = sorted_by(asked.unionByName(given), "bucket", "salt", "kind", "chunk").mapInArrow(lambda b: answers(b, mixed), REQUEST)
+    each = asking(parts, F.col("salt")).unionByName(asking(model, F.lit(-1)))
+    known = sorted_by(each, "bucket", "salt", "kind", "chunk").mapInArrow(lambda b: answers(b, mixed), REQUEST)
+    known = known.select("bucket", F.col("chunk").cast("int").alias("salt"), "kind", F.lit(-1).cast("long").alias("chunk"), "blob")
+    replies = sorted_by(asked.unionByName(known), "bucket", "salt", "kind", "chunk").mapInArrow(looked_up, REQUEST)
     replies = replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "kind", "blob")).alias("replies"))
     return store.join(replies, "chunk").mapInArrow(lambda b: finished(b, buckets, total, distinct), RESULT)
 

@@ -1,5 +1,6 @@
 """Every operator against a brute-force version, on small tables with every oddity."""
 
+import functools
 import hashlib
 import math
 import random
@@ -440,7 +441,8 @@ def test_label_model_weighs_voters():
 # -- 5: language model -----------------------------------------------------------------------------------
 
 
-def brute_ctw(train: list[bytes], texts: list[bytes]) -> list[float]:
+@functools.cache
+def brute_ctw(train: tuple[bytes, ...], texts: tuple[bytes, ...]) -> list[float]:
     depth, tree = ctw.DEPTH, {}
     for s in train:
         s = b"\n" * depth + s + b"\n"
@@ -489,7 +491,8 @@ def test_ctw(spark, odd, merged, monkeypatch):
     total, kinds = sum(count.values()), len(count)
     want = []
     chosen = [i for i, (_, w, _) in enumerate(docs) if sum(map(len, w)) < 700]
-    model = dict(zip(chosen, brute_ctw([b" ".join(w) for _, w, f in docs if f != 2], [b" ".join(docs[i][1]) for i in chosen]), strict=True)) if merged > 1 else {}
+    train, texts = tuple(b" ".join(w) for _, w, f in docs if f != 2), tuple(b" ".join(docs[i][1]) for i in chosen)
+    model = dict(zip(chosen, brute_ctw(train, texts), strict=True))
     for i, (d, w, fold) in enumerate(docs):
         tokens = [*w, None]
         base = sum(math.log10((count[x] + 1) / (total + kinds + 1)) for x in tokens)
