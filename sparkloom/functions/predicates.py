@@ -322,20 +322,18 @@ class Sym:
             raise SchemaError("an escape is one character")
         if re.search(rf"(?<!{re.escape(escape)})(?:{re.escape(escape * 2)})*{re.escape(escape)}$", pattern):
             raise SchemaError("a pattern cannot end with its escape")
-        regex, i = "", 0
+        plain, i = "", 0  # with Spark's own escape, which stands only before what would mean something
         while i < len(pattern):
             c = pattern[i]
             if c == escape:
                 i += 1
-                regex += re.escape(pattern[i])
+                c = pattern[i]
+                plain += "\\" + c if c in "%_\\" else c
             else:
-                regex += {"%": ".*", "_": "."}.get(c, re.escape(c))
+                plain += "\\\\" if c == "\\" else c
             i += 1
         text = f"{self.text} like {literal_text(pattern)}" + ("" if escape == "\\" else f" escape {literal_text(escape)}")
-        simple = re.fullmatch(r"([^%_\\]*)%", pattern)
-        if simple and escape == "\\":
-            return Predicate(self.column.startswith(F.lit(simple[1])), text, self.columns)
-        return Predicate(self.column.rlike(f"(?s)^{regex}\\z"), text, self.columns)
+        return Predicate(F.like(self.column, F.lit(plain)), text, self.columns)
 
     def has_token(self, word: str) -> Predicate:
         """The text holds the word whole; words are runs of A-Z, a-z, 0-9 and what is not ASCII."""

@@ -37,6 +37,7 @@ class Plan:
     placed: DataFrame  # df with the columns that order its rows, taken when a result asks for them
     plain: dict[str, Column] = field(default_factory=dict)
     frames: dict[str, Callable[[DataFrame, list[str]], DataFrame]] = field(default_factory=dict)
+    spreads: dict[tuple, tuple[Column, int, dict[str, float]]] = field(default_factory=dict)  # quantiles that one histogram answers
     states: dict[str, tuple] = field(default_factory=dict)
     found: dict[str, Result] = field(default_factory=dict)
 
@@ -46,8 +47,10 @@ class Plan:
         # a group key of -0 is one of +0, a NaN one of NaN: Spark's own grouping sees to both
         grouped = keyed.groupBy(*names)
         out = grouped.agg(*(c.alias(n) for n, c in self.plain.items()), F.count("*").alias("__rows"))
-        for name, frame in self.frames.items():
-            side = frame(keyed, names).select(*(F.col(k).alias(f"__j{i}") for i, k in enumerate(names)), name)
+        sides = [(frame(keyed, names), [name]) for name, frame in self.frames.items()]
+        sides += [(quantiles(histogram(keyed, names, x, parts), names, asked, parts), list(asked)) for x, parts, asked in self.spreads.values()]
+        for frame, found in sides:
+            side = frame.select(*(F.col(k).alias(f"__j{i}") for i, k in enumerate(names)), *found)
             on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__j{i}")) for i, k in enumerate(names)), F.lit(True))
             out = out.join(side, on, "left").drop(*(f"__j{i}" for i in range(len(names))))
         return out
@@ -79,13 +82,16 @@ class Group:
             raise QueryError("an aggregate cannot read another one's result; group the result again")
         return column if isinstance(column, Sym) else Fields(self._schema)[column]
 
-    def _named(self, spec: tuple, kind: T.DataType, plain: Column | None = None, frame=None) -> Result:
+    def _named(self, spec: tuple, kind: T.DataType, plain: Column | None = None, frame=None, spread=None) -> Result:
         spec = (*spec, self._kept.text if self._kept is not None else "")
         text = repr(spec)
         if text not in self._plan.found:
             out = f"__a{len(self._plan.found)}"
             if plain is not None:
                 self._plan.plain[out] = plain
+            elif spread is not None:
+                x, parts, q = spread
+                self._plan.spreads.setdefault((spec[1], parts, spec[-1]), (x, parts, {}))[2][out] = q
             else:
                 self._plan.frames[out] = lambda df, keys: frame(df, keys, out)
             self._plan.found[text] = Result(out, kind, spec)
@@ -212,7 +218,7 @@ class Group:
         s = self._number(column)
         x = self._values(s).cast("double")
         parts = grid(error)
-        return self._named(("quantile", s.name, q, error), DOUBLE, frame=lambda df, keys, out: quantiles(histogram(df, keys, x, parts), keys, q, parts, out))
+        return self._named(("quantile", s.name, q, error), DOUBLE, spread=(x, parts, q))
 
     # -- chosen rows -----------------------------------------------------------------------
 
@@ -380,14 +386,17 @@ def histogram(df: DataFrame, keys: list[str], x: Column, parts: int) -> DataFram
     return df.select(*keys, x.alias("__x")).where("__x is not null").groupBy(*keys, bucket_of(F.col("__x"), parts).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def quantiles(counts: DataFrame, keys: list[str], q: float, parts: int, out: str) -> DataFrame:
-    """The middle of the first bucket that reaches past rank q(n-1)."""
+def quantiles(counts: DataFrame, keys: list[str], asked: dict[str, float], parts: int) -> DataFrame:
+    """By name, the middle of the first bucket that reaches past rank q(n-1)."""
     own = Window.partitionBy(*keys)  # buckets of a group, not its rows
     ranked = counts.withColumn("__to", F.sum("n").over(own.orderBy("bucket"))).withColumn("__n", F.sum("n").over(own))
-    hit = ranked.where(F.col("__to") > q * (F.col("__n") - 1)).groupBy(*keys).agg(F.min("bucket").alias("bucket"))
-    low, high = bounds(F.col("bucket"), parts)
-    middle = F.when(F.abs(low) == float("inf"), low).otherwise((low + high) / 2)
-    return hit.select(*keys, middle.alias(out))
+    hit = ranked.groupBy(*keys).agg(*(F.min(F.when(F.col("__to") > q * (F.col("__n") - 1), F.col("bucket"))).alias(name) for name, q in asked.items()))
+
+    def middle(bucket: Column) -> Column:
+        low, high = bounds(bucket, parts)
+        return F.when(F.abs(low) == float("inf"), low).otherwise((low + high) / 2)
+
+    return hit.select(*keys, *(middle(F.col(name)).alias(name) for name in asked))
 
 
 # -- points in order ---------------------------------------------------------------------------

@@ -12,6 +12,7 @@ from typing import Any, Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,11 +50,8 @@ def aggregate(scan: Scan, keys: dict[str, object], column, aggregator: Aggregato
             own = [_plain(batch.column(i)) for i in range(n)]
             valid = np.asarray(batch.column(n).is_valid())
             values = np.asarray(batch.column(n).to_numpy(zero_copy_only=False))
-            places: dict[tuple, list[int]] = {}
-            for i in range(batch.num_rows):
-                places.setdefault(tuple(c[i] for c in own), []).append(i)
-            for key, at in places.items():
-                at = np.array(at)
+            for at in _places([batch.column(i) for i in range(n)], batch.num_rows):
+                key = tuple(c[at[0]] for c in own)
                 state = states.get(key)
                 states[key] = aggregator.step(aggregator.seed() if state is None else state, values[at[valid[at]]])
         if states:
@@ -79,6 +77,18 @@ def _plain(column: pa.Array) -> list:
     return column.to_pylist()
 
 
+def _places(columns: list[pa.Array], rows: int) -> list[np.ndarray]:
+    """The rows of each key of a batch, in their order."""
+    code = np.zeros(rows, np.int64)
+    for column in columns:
+        if pa.types.is_floating(column.type):  # as above
+            column = pc.add(pc.if_else(pc.is_nan(column), pa.scalar(NAN, column.type), column), pa.scalar(0.0, column.type))
+        own = pc.fill_null(column.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        code = np.unique(code * (own.max(initial=0) + 1) + own, return_inverse=True)[1]
+    order = np.argsort(code, kind="stable")
+    return [at for at in np.split(order, np.flatnonzero(np.diff(code[order])) + 1) if len(at)]
+
+
 class Welford:
     """Count, mean and sum of squared deviations, in one pass; finishes as the sample variance."""
 

@@ -98,7 +98,7 @@ class Question:
         for m in self.measures:
             if m.how == "quantile":
                 counts = buckets.where(F.col("__m") == m.name).groupBy(*self.keys, "bucket").agg(F.sum("n").alias("n"))
-                side = quantiles(counts, list(self.keys), m.q, grid(m.error), m.name).withColumnsRenamed({k: f"__j{k}" for k in self.keys})
+                side = quantiles(counts, list(self.keys), {m.name: m.q}, grid(m.error)).withColumnsRenamed({k: f"__j{k}" for k in self.keys})
                 on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__j{k}")) for k in self.keys), F.lit(True))
                 out = out.join(side, on, "left")
         picked = []

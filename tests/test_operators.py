@@ -110,6 +110,22 @@ def test_example_growth(spark):
     assert (r.g, r.none, r.one) == (80, None, 0)
 
 
+def test_quantiles_of_a_column_share_one_histogram(spark):
+    rows = [(i % 3, float(i), None if i % 3 == 2 else float(-i)) for i in range(300)]
+    scan = Scan(spark.createDataFrame(rows, "k int, x double, y double"))
+    few = scan.group_by("k").select(lambda g: {"k": g.key, "a": g.quantile("x", 0.5)})
+    many = scan.group_by("k").select(lambda g: {"k": g.key, "a": g.quantile("x", 0.5), "b": g.quantile("x", 0.0), "c": g.quantile("x", 1.0)})
+    shuffles = [df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for df in (few, many)]
+    assert shuffles[0] == shuffles[1]
+    apart = {r.k: r for r in scan.group_by("k").select(lambda g: {"k": g.key, "a": g.quantile("x", 0.5), "y": g.quantile("y", 0.5), "rough": g.quantile("x", 1.0, 0.3), "late": g.where(lambda r: r.x > 150).quantile("x", 0.0), "none": g.where(lambda r: r.x > 999).quantile("x", 0.5)}).collect()}
+    for r in many.collect():
+        own = [x for k, x, _ in rows if k == r.k]
+        for got, q in ((r.a, 0.5), (r.b, 0.0), (r.c, 1.0), (apart[r.k].a, 0.5)):
+            assert abs(got - own[math.floor(q * (len(own) - 1))]) <= 0.01 * got
+        assert (apart[r.k].y is None) == (r.k == 2) and apart[r.k].none is None
+        assert abs(apart[r.k].rough - own[-1]) <= 0.3 * own[-1] and abs(apart[r.k].late - min(x for x in own if x > 150)) <= 2
+
+
 def test_quantiles_are_near(spark):
     rng = random.Random(5)
     values = [rng.lognormvariate(0, 3) * rng.choice([1, 1, -1]) for _ in range(4000)] + [0.0] * 50

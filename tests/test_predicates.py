@@ -86,7 +86,7 @@ def test_sets_and_nulls(scan):
 def test_text(scan):
     assert kept(scan, lambda r: r.s.starts_with("pa")) == expected(lambda r: r["s"] is not None and r["s"].startswith("pa"))
     assert kept(scan, lambda r: r.s.contains("a")) == expected(lambda r: r["s"] is not None and "a" in r["s"])
-    for pattern, escape, fits in (("a_b", "\\", {"a_b", "a\\b"}), ("a\\_b", "\\", {"a_b"}), ("%!%", "!", {"A%"}), ("%", "\\", {"", "a_b", "A%", "paris", "pa", "a\\b", "naïve word", "word"}), ("na_ve%", "\\", {"naïve word"}), ("pa%", "\\", {"pa", "paris"})):
+    for pattern, escape, fits in (("a_b", "\\", {"a_b", "a\\b"}), ("a\\_b", "\\", {"a_b"}), ("%!%", "!", {"A%"}), ("%", "\\", {"", "a_b", "A%", "paris", "pa", "a\\b", "naïve word", "word"}), ("na_ve%", "\\", {"naïve word"}), ("pa%", "\\", {"pa", "paris"}), ("%\\\\%", "\\", {"a\\b"}), ("a!\\b", "!", {"a\\b"}), ("a\\b", "!", {"a\\b"}), ("_\\_", "!", {"a\\b"}), ("%d", "\\", {"naïve word", "word"}), ("p%s", "\\", {"paris"}), ("\\pa", "\\", {"pa"}), ("", "\\", {""})):
         assert kept(scan, lambda r: r.s.like(pattern, escape)) == expected(lambda r: r["s"] in fits), pattern  # noqa: B023
     assert kept(scan, lambda r: r.s.has_token("word")) == expected(lambda r: r["s"] in ("naïve word", "word"))
     assert kept(scan, lambda r: r.s.has_token("na")) == set()
