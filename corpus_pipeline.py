@@ -5,7 +5,8 @@ the columns of documents.  run() applies them to the table documents and writes
 stage leaves as a table in the shared folder, from which the next one reads.
 
 What the stages decide: documents whose language is rejected go; one document of each
-group of near copies stays (similarity of five-word shingles 0.8 or more, compared exactly);
+group of near copies stays (similarity of five-word shingles 0.8 or more; they meet by SimHash and are
+compared exactly, and an exact join links what that left apart);
 documents with a benchmark passage go; personal data is written over (n_chars follows); the rest is
 cut and packed.  SQL cannot express trained stages, so the tests hold run() against the
 operators' brute-force versions.

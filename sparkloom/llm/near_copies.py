@@ -1,6 +1,12 @@
 """Near copies for the pipeline: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-An exact set-similarity join.  All shingles stand in one order, those that a sample of
+First by SimHash, the operator of simhash.py: each set gets PRINTS of its fingerprints, of the hashes mixed in as many
+ways, and these meet in its index of positional bytes; with its least and its nearest partner there each is compared
+exactly, sketches first and then whole sets, and what that links is a component.  The index posts two of eight bytes, so all within DISTANCE bits
+meet and most of those within WITHIN.
+
+No number of bits holds all sets of similarity 0.8, so an exact set-similarity join links what the
+fingerprints left apart; posting lists within one component are passed over.  All shingles stand in one order, those that a sample of
 SAMPLE documents shows to be common last (the commonest at the very end), the rest by hash.
 Two sets of similarity 0.8 share a shingle among the first n - ceil(0.8 n) + 1 of each, so every
 pair meets in a posting list of these.  The sample only decides how long the lists get, never
@@ -8,8 +14,8 @@ what is found.  At the first shingle that two sets share, neither can share more
 from there on: pairs for which that is too little, by the sizes and places that a posting
 carries, are none at that list.  Of lists with the same members the first in the order stands for all.
 
-Lists are not paired in full.  Each member is first compared with its list's pivot, which has the
-fewest shingles before this one and so is nearest to what the list has in common; what that links is a component.  Then, in
+Lists are not paired in full.  Each member is first compared with its list's pivot, if that is in another component; the pivot has the
+fewest shingles before this one and so is nearest to what the list has in common; what that links is one component.  Then, in
 lists that still hold several components, all outside the largest are compared with every member
 of another component, by blocks of members.  So each pair of a list is compared or already linked, and a large group
 of near copies costs a few rows a member.  Counts of shingles by bits of their hashes, in about as
@@ -38,6 +44,12 @@ SHINGLE, SEED = 5, 42
 OVER, UNDER = 4, 5
 #: Documents sampled for common shingles, how many of them make a shingle common, and how many are kept in mind.
 SAMPLE, COMMON, MOST = 20_000, 3, 1 << 18
+#: Fingerprints of a set.
+PRINTS = 2
+#: Bits in which fingerprints may differ that are sure to meet in the index, and that are compared if they meet.
+DISTANCE, WITHIN = 6, 12
+#: Members of a list of the index that one is compared with.
+LONGEST = 1024
 #: Members of a list that meet an outsider at once.
 BLOCK = 1024
 #: Keys from here on are those of common shingles.
@@ -105,18 +117,28 @@ def common_shingles(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return most[order], len(most) - 1 - order
 
 
+def prints_of(hashes: np.ndarray) -> np.ndarray:
+    """The fingerprints of a set: the operator's, and those of its hashes mixed again."""
+    out = []
+    for _ in range(PRINTS):
+        out.append(simhash.majority(hashes))
+        hashes = common.mix(hashes)
+    return np.array(out, np.uint64)
+
+
 def posted(documents: DataFrame, known: np.ndarray, place: np.ndarray) -> DataFrame:
-    """doc, node, size, sketch and the keys to post of every row (doc, text)."""
+    """doc, node, the fingerprints, size, sketch and the keys to post of every row (doc, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = zstandard.ZstdCompressor(level=3)
         for batch in common.chunks(batches):
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
             nodes = np.array([node_of(s) for s in sets], np.uint64)
+            prints = [prints_of(s).view(np.int64) for s in sets]
             keys = [first_of(s, known, place) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes.view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), pa.array([sketch_of(s, compressor) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc", "node", "size", "sketch", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes.view(np.int64)), pa.array(prints, pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int32()), pa.array([sketch_of(s, compressor) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc", "node", "prints", "size", "sketch", "keys"])
 
-    return documents.mapInArrow(work, "doc long, node long, size int, sketch binary, keys array<long>")
+    return documents.mapInArrow(work, "doc long, node long, prints array<long>, size int, sketch binary, keys array<long>")
 
 
 def may(size: str, before: str, other_size: str, other_before: str) -> str:
@@ -181,24 +203,52 @@ def candidates(mixed: DataFrame) -> DataFrame:
     return met.groupBy("a", "cut", "block").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found")).select("a", F.explode("found").alias("node"))
 
 
-def links(documents: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs u, v of nodes, all alike, that connect all that are."""
-    own = rows.join(nodes.select("node", F.col("first").alias("doc")), ["node", "doc"], "left_semi")
+def by_fingerprint(own: DataFrame) -> DataFrame:
+    """Pairs u, v of nodes with a fingerprint that is equal or a partner in the index of simhash.py; one node stands for each fingerprint."""
+    out = None
+    for k in range(PRINTS):
+        prints = common.stored(own.select("node", F.col("prints")[k].alias("fp")).distinct())
+        one = common.stored(prints.groupBy("fp").agg(F.min("node").alias("one")))
+        equal = prints.join(one, "fp").where("node <> one").select(F.col("one").alias("u"), F.col("node").alias("v"))
+        found = common.stored(simhash.partners(one.select("fp"), DISTANCE, WITHIN, LONGEST))
+        u, v = (one.select(F.col("fp").alias(n), F.col("one").alias(f"{n}_one")) for n in ("u", "v"))
+        met = found.join(u, "u").join(v, "v").select(F.least("u_one", "v_one").alias("u"), F.greatest("u_one", "v_one").alias("v"))
+        met = met.unionByName(equal)
+        out = out.unionByName(met) if out else met
+    return common.stored(out.distinct())
+
+
+def parted(members: DataFrame, near: DataFrame) -> DataFrame:
+    """The members (node, ...) with their part: the component of the links that each is in."""
+    roots = components(near).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return members.join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
+
+
+def left_apart(documents: DataFrame, nodes: DataFrame, sketches: DataFrame, own: DataFrame, near: DataFrame) -> DataFrame:
+    """Pairs u, v of nodes, all alike, that with the links in near connect all that are."""
     index = own.select(F.posexplode("keys").alias("before", "key"), "node", "size")
-    sketches = common.stored(own.select("node", "sketch").dropDuplicates(["node"]))
-    lists = index.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members"), F.min(F.struct("before", "size", "node")).alias("pivot")).where("n > 1")
+    shared = common.stored(index.groupBy("key").count().where("count > 1").select("key"))
+    met = common.stored(parted(index.join(shared, "key", "left_semi"), near))
+    lists = met.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members"), F.min(F.struct("before", "size", "node", "part")).alias("pivot"), F.max("part").alias("last"), F.min("part").alias("part")).where("part <> last")
     lists = common.stored(lists.groupBy("n", "members").agg(F.min(F.struct("key", "pivot")).alias("first")).select("first.key", "first.pivot", F.ceil(F.greatest(F.lit(0.0), F.log2(F.col("n") / BLOCK))).cast("int").alias("cut")))
-    met = common.stored(index.join(lists, "key"))
-    star = met.where("node <> pivot.node AND " + may("size", "before", "pivot.size", "pivot.before"))
+    met = common.stored(met.join(lists, "key"))
+    star = met.where("part <> pivot.part AND " + may("size", "before", "pivot.size", "pivot.before"))
     star = common.stored(star.select(F.least("pivot.node", "node").alias("u"), F.greatest("pivot.node", "node").alias("v")).distinct())
-    near = common.stored(alike(documents, nodes, sketches, star))
-    roots = components(near).select(F.col("u").alias("node"), F.col("v").alias("root"))
-    placed = common.stored(met.join(roots, "node", "left").select("key", "node", "size", "before", F.coalesce("root", "node").alias("part")))
+    close = common.stored(alike(documents, nodes, sketches, star))
+    placed = common.stored(parted(met.select("key", "node", "size", "before"), near.unionByName(close)))
     parts = placed.groupBy("key", "part").count().groupBy("key").agg(F.max_by("part", "count").alias("main"), F.count("*").alias("n"))
     mixed = common.stored(placed.join(parts.where("n > 1").select("key", "main"), "key").join(lists.select("key", "cut"), "key"))
     met_outside = candidates(mixed).select(F.least("a", "node").alias("u"), F.greatest("a", "node").alias("v")).distinct()
     pairs = common.stored(met_outside.join(star, ["u", "v"], "left_anti"))
-    return near.unionByName(alike(documents, nodes, sketches, pairs))
+    return close.unionByName(alike(documents, nodes, sketches, pairs))
+
+
+def links(documents: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs u, v of nodes, all alike, that connect all that are: those by fingerprint, then those that these left apart."""
+    own = rows.join(nodes.select("node", F.col("first").alias("doc")), ["node", "doc"], "left_semi")
+    sketches = common.stored(own.select("node", "sketch").dropDuplicates(["node"]))
+    near = common.stored(alike(documents, nodes, sketches, by_fingerprint(own)))
+    return near.unionByName(left_apart(documents, nodes, sketches, own, near))
 
 
 def groups(documents: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -91,14 +91,19 @@ def six_bytes(groups: tuple[int, int], fp: str = "fp") -> list:
     held = [p for g in groups for p in GROUPS[g]]
     keys = []
     for more in combinations([p for p in range(8) if p not in held], 8 - DISTANCE - len(held)):
-        places = sorted([*held, *more])
-        key = F.lit(SIXES.index(tuple(places)) << 48).cast("long")
-        for k, p in enumerate(places):
-            key = key.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, 8 * p).bitwiseAND(0xFF).cast("long"), 8 * k))
-        keys.append(key)
+        places = tuple(sorted([*held, *more]))
+        keys.append(byte_key(SIXES.index(places), places, fp))
     return keys
 
 
+def byte_key(which: int, places: tuple[int, ...], fp: str = "fp") -> Column:
+    """One key of a fingerprint: which places (at most six), and their positional bytes."""
+    key = F.lit(which << 48).cast("long")
+    for k, p in enumerate(places):
+        key = key.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, 8 * p).bitwiseAND(0xFF).cast("long"), 8 * k))
+    return key
+
+
 def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(key, fp) rows sorted by key as arrays of whole posting lists; a list never ends a batch unseen."""
     rest: list[tuple[np.ndarray, np.ndarray]] = []
@@ -199,6 +204,50 @@ def links(nodes: DataFrame, longest: int = LONGEST) -> DataFrame:
     return direct.unionByName(longer.repartition(common.width(spark), "key").sortWithinPartitions("key").mapInArrow(spanned, "u long, v long"))
 
 
+def nearest(batches: Iterator[pa.RecordBatch], least: int, within: int, longest: int) -> Iterator[pa.RecordBatch]:
+    """For each member of the posting lists of (key, fp) rows, sorted by both: its least and its nearest partner in the list.
+
+    Partners share at least `least` positional bytes and differ in at most `within` bits.  A member is compared
+    with the `longest` that follow it."""
+    for key, fp in lists(batches):
+        found = []
+        for step in range(1, min(len(key) - 1, longest) + 1):
+            i = np.flatnonzero(key[step:] == key[:-step])
+            if not len(i):
+                break
+            x = fp[i] ^ fp[i + step]
+            shared = (x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+            bits = np.bitwise_count(x)
+            good = (shared >= least) & (bits <= within)
+            found.append((i[good], i[good] + step, bits[good]))
+        if not found:
+            continue
+        i, j, bits = (np.concatenate(x) for x in zip(*found, strict=True))
+        own, other, bits = np.append(i, j), np.append(j, i), np.append(bits, bits).astype(np.int32)
+        signed = fp.view(np.int64)
+        for order in (np.lexsort((signed[other], own)), np.lexsort((signed[other], bits, own))):
+            order = order[np.unique(own[order], return_index=True)[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(signed[own[order]]), pa.array(signed[other[order]]), pa.array(bits[order])], names=["fp", "other", "bits"])
+
+
+def partners(nodes: DataFrame, distance: int, within: int, longest: int) -> DataFrame:
+    """Pairs u, v of distinct fingerprints (column fp) for an exact check to follow: of each one that has any, its least and its nearest partner.
+
+    The index posts a fingerprint under each 8 - distance of its positional bytes, the least number that two at
+    the distance share; those that meet there are partners if they differ in at most `within` bits."""
+    least = 8 - distance
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from nearest(batches, least, within, longest)
+
+    keys = [byte_key(i, places) for i, places in enumerate(combinations(range(8), least))]
+    index = nodes.select(F.explode(F.array(*keys)).alias("key"), "fp").repartition(common.width(nodes.sparkSession), "key")
+    found = index.sortWithinPartitions("key", "fp").mapInArrow(work, "fp long, other long, bits int")
+    chosen = found.groupBy("fp").agg(F.min("other").alias("least"), F.min(F.struct("bits", "other")).alias("nearest"))
+    pairs = chosen.select("fp", F.explode(F.array("least", "nearest.other")).alias("other"))
+    return pairs.select(F.least("fp", "other").alias("u"), F.greatest("fp", "other").alias("v")).distinct()
+
+
 def groups(documents: DataFrame, size: int = SHINGLE, seed: int = SEED, longest: int = LONGEST) -> DataFrame:
     """doc_id, fp and component_id of every row."""
     rows = common.stored(fingerprints(documents, size, seed))

@@ -895,6 +895,46 @@ def test_near_copies_of_the_tables(spark):
     assert got == brute_near([(d, t) for d, t, _ in documents(folder)])
 
 
+def test_near_copies_meet_by_fingerprint(spark, monkeypatch):
+    """The index alone finds most edited copies and nothing else; what it misses is found without it."""
+    rng = random.Random(8)
+    docs = []
+    for i in range(150):
+        b = [f"w{rng.randrange(5000)}" for _ in range(150)]
+        docs.append((10 * i, " ".join(b)))
+        for n in (1, 2):
+            for at in rng.sample(range(150), n):
+                b[at] = f"x{rng.randrange(10**6)}"
+            docs.append((10 * i + n, " ".join(b)))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute_near(docs)
+    with monkeypatch.context() as only:
+        only.setattr(near_copies, "left_apart", lambda documents, nodes, sketches, own, near: near.limit(0))
+        got = {r.doc_id: r.component_id for r in rows(near_copies.groups(table))}
+    assert all(want[d] == want[c] for d, c in got.items())
+    assert len(docs) - len(set(got.values())) >= 0.9 * (len(docs) - len(set(want.values()))) > 0
+    monkeypatch.setattr(simhash, "partners", lambda nodes, *_: nodes.selectExpr("fp u", "fp v").limit(0))
+    assert {r.doc_id: r.component_id for r in rows(near_copies.groups(table))} == want
+
+
+@pytest.mark.parametrize("longest", [1, 1024])
+def test_partners(spark, longest):
+    """The least and the nearest of those that share two positional bytes and differ in twelve bits at most, against all pairs."""
+    rng = random.Random(6)
+    fps = {rng.getrandbits(64) for _ in range(60)}
+    fps |= {fp ^ sum(1 << b for b in rng.sample(range(64), n)) for fp in sorted(fps) for n in (1, 3, 6, 9, 12)}
+    signed = sorted(fp - (1 << 64) if fp >> 63 else fp for fp in fps)
+    near = defaultdict(list)
+    for a in signed:
+        for b in signed:
+            x = (a ^ b) % (1 << 64)
+            if a != b and x.bit_count() <= 12 and x.to_bytes(8).count(0) >= 2:
+                near[a].append((x.bit_count(), b))
+    got = {(r.u, r.v) for r in rows(simhash.partners(spark.createDataFrame([(fp,) for fp in signed], "fp long"), 6, 12, longest))}
+    want = {tuple(sorted((a, b))) for a, found in near.items() for b in (min(found)[1], min(b for _, b in found))}
+    assert got == want if longest > 1 else got and all(b in [o for _, o in near[a]] for a, b in got)
+
+
 # -- 10: search --------------------------------------------------------------------------------------------
 
 
