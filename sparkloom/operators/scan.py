@@ -212,21 +212,9 @@ class Scan:
         Nulls match nothing; a null here is unknown, so negation keeps it out too.  More than
         `most` distinct values are refused, and small sets are broadcast by their size."""
         symbols = [self._symbol(c) for c in (columns if isinstance(columns, (list, tuple)) else [columns])]
-        values = other.df if isinstance(other, Scan) else other
-        if not 1 <= len(symbols) <= 4 or len(values.columns) != len(symbols):
-            raise SchemaError("a semi-join compares one to four columns with as many")
-        names = [f"__v{i}" for i in range(len(symbols))]
-        for s, f in zip(symbols, values.schema, strict=True):
-            if s.kind != f.dataType:
-                raise SchemaError(f"{s.name} is {s.kind.simpleString()}, {f.name} is {f.dataType.simpleString()}")
-        values = values.toDF(*names).dropna()
-        for n, s in zip(names, symbols, strict=True):
-            if isinstance(s.kind, FLOATS):
-                values = values.where(~F.isnan(n))
-        values = values.distinct()
+        values, on = among(symbols, other.df if isinstance(other, Scan) else other)
         if values.limit(most + 1).count() > most:
             raise TooManyValuesError(f"more than {most} values")
-        on = reduce(lambda a, b: a & b, (s.column == F.col(n) for s, n in zip(symbols, names, strict=True)))
         if negated:
             known = reduce(lambda a, b: a & b, (s.column.isNotNull() for s in symbols))
             return self._with(self._df.where(known).join(values, on, "left_anti"), self._lean.where(known).join(values, on, "left_anti"))
@@ -339,6 +327,21 @@ class Scan:
         return self.df.observe(seen, F.count("*").alias("rows")), seen
 
 
+def among(symbols: list[Sym], values: DataFrame) -> tuple[DataFrame, Column]:
+    """What a semi-join compares columns with: the distinct values that can match, as __v0 and on, and the condition."""
+    if not 1 <= len(symbols) <= 4 or len(values.columns) != len(symbols):
+        raise SchemaError("a semi-join compares one to four columns with as many")
+    names = [f"__v{i}" for i in range(len(symbols))]
+    for s, f in zip(symbols, values.schema, strict=True):
+        if s.kind != f.dataType:
+            raise SchemaError(f"{s.name} is {s.kind.simpleString()}, {f.name} is {f.dataType.simpleString()}")
+    values = values.toDF(*names).dropna()
+    for n, s in zip(names, symbols, strict=True):
+        if isinstance(s.kind, FLOATS):
+            values = values.where(~F.isnan(n))
+    return values.distinct(), reduce(lambda a, b: a & b, (s.column == F.col(n) for s, n in zip(symbols, names, strict=True)))
+
+
 @contextmanager
 def cancellable(spark: SparkSession, name: str):
     """Jobs started inside belong to a group; the function given cancels them, from any thread."""

@@ -605,8 +605,8 @@ def table_delete(spark, sf):
 def table_delete_marked(spark, sf):
     dataset = orders_dataset(spark, sf, Layout(sort_key=("o_custkey",)))
     dataset.delete(lambda r: r.o_custkey < 300, mark=True)
-    keys = [r[0] for r in spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 10 = 3").select("o_orderkey").collect()]
-    dataset.delete(lambda r: r.o_orderkey.is_in(keys), mark=True)
+    keys = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 10 = 3").select("o_orderkey")
+    dataset.delete_in("o_orderkey", keys, mark=True)
     maintenance.compact(dataset, target_rows=1 << 20)
     return by_status(dataset.scan())
 

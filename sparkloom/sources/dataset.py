@@ -26,13 +26,16 @@ from pyspark.sql import types as T
 
 from ..errors import CommitConflictError, IntegrityError, QueryError, SchemaError, SourceOffsetConflictError
 from ..functions.predicates import FLOATS, Fields, Predicate, Sym
-from ..operators.scan import FILE, ROW, Scan
+from ..operators.scan import FILE, ROW, Scan, among
 from ..schema import holds
+from .shared import shared_folder
 from .store import Store, bare
 
 LOG, DATA, MARKS = "_log", "data", "marks"
 #: Versions from one whole list of objects to the next, commits tried, text kept in summaries.
 CHECKPOINT, ATTEMPTS, TEXT = 16, 20, 64
+#: Marked rows up to which Spark may send them to all tasks, and rows in a task where they are joined by shuffle instead.
+MARKS_SENT, MARKS_TASK = 1 << 17, 1 << 18
 SUMMARIZED = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, *FLOATS, T.DecimalType, T.DateType, T.TimestampType, T.TimestampNTZType, T.StringType, T.BooleanType)
 #: Spark's name of a null partition value.
 NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
@@ -243,7 +246,12 @@ class Dataset:
         if marked:
             marks = self.spark.read.parquet(*sorted({self.store.path(o.marks) for o in marked}))
             marks = marks.where(F.col("file").isin([o.key for o in marked])) if len(marked) <= 1000 else marks
-            df = df.join(marks.select(F.col("file").alias("__mf"), F.col("row").alias("__mr")), (self._key_of(FILE) == F.col("__mf")) & (F.col(ROW) == F.col("__mr")), "left_anti")
+            marks = marks.select(F.col("file").alias("__mf"), F.col("row").alias("__mr"))
+            df = df.withColumn("__mk", self._key_of(FILE))
+            if sum(o.marked for o in marked) > MARKS_SENT:  # few bytes in their file are many on the driver
+                n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(o.rows for o in objects) // MARKS_TASK))
+                df, marks = df.repartition(n, "__mk", ROW), marks.repartition(n, "__mf", "__mr").hint("merge")
+            df = df.join(marks, (F.col("__mk") == F.col("__mf")) & (F.col(ROW) == F.col("__mr")), "left_anti").drop("__mk")
         return df
 
     def _key_of(self, path: str) -> Column:
@@ -411,24 +419,32 @@ class Dataset:
 
     # -- changing rows ---------------------------------------------------------------------
 
-    def _rewrite(self, what: str, where, build: Callable[[DataFrame, Predicate], DataFrame] | None, sources: Iterable[SourceRange], mark: bool = False) -> Commit:
-        """Deletes (no build) or rebuilds the rows where it is true, object by touched object; asked anew for each version met."""
+    def _rewrite(self, what: str, where, build: Callable[[DataFrame, Predicate], DataFrame] | None, sources: Iterable[SourceRange], mark: bool = False, values: tuple[DataFrame, Column] | None = None) -> Commit:
+        """Deletes (no build) or rebuilds the rows where it is true, object by touched object; asked anew for each version met.
+
+        values: deletes the rows that a semi-join with them finds; where says no more than which objects may hold some."""
         predicate = self._asked(where)
         sources = list(sources)
+        kept = F.coalesce(predicate.column, F.lit(False))
+
+        def hit(df: DataFrame) -> DataFrame:
+            return df.where(kept) if values is None else df.join(*values, "left_semi")
+
+        def missed(df: DataFrame) -> DataFrame:
+            return df.where(~kept) if values is None else df.join(*values, "left_anti")
+
         for _ in range(ATTEMPTS):
             base = self._state
             may = [o for o in self.objects() if predicate.outcomes(self._summaries(o))[0]]
-            df = self._read(may)
-            hits = {r["key"]: r["n"] for r in df.where(predicate.column).groupBy(self._key_of(FILE).alias("key")).agg(F.count("*").alias("n")).collect()} if may else {}
+            hits = {r["key"]: r["n"] for r in hit(self._read(may)).groupBy(self._key_of(FILE).alias("key")).agg(F.count("*").alias("n")).collect()} if may else {}
             touched = [o for o in may if hits.get(o.key)]
             rows = sum(hits.values())
-            kept = F.coalesce(predicate.column, F.lit(False))
             made: list[Object] = []
             gone = [o.key for o in touched]
             marked = 0
             if touched and mark and build is None:
                 name = f"{MARKS}/{self.version + 1:020d}-{uuid.uuid4().hex}"
-                own = self._read(touched).where(kept).select(self._key_of(FILE).alias("file"), F.col(ROW).alias("row"))
+                own = hit(self._read(touched)).select(self._key_of(FILE).alias("file"), F.col(ROW).alias("row"))
                 before = sorted({o.marks for o in touched if o.marks})
                 if before:
                     own = own.unionByName(self.spark.read.parquet(*map(self.store.path, before)).where(F.col("file").isin([o.key for o in touched])))
@@ -440,7 +456,7 @@ class Dataset:
                 part = [o for o in touched if o not in whole]
                 if part:
                     read = self._read(part)
-                    changed = build(read, predicate) if build else read.where(~kept)
+                    changed = build(read, predicate) if build else missed(read)
                     made = self._write(changed, max(o.level for o in part), files=max(1, len(part)))
 
             def change(state: State, base=base, made=made, gone=gone):
@@ -457,6 +473,23 @@ class Dataset:
         """Deletes the rows where it is true: touched files are written anew, or (mark) the rows are listed as deleted."""
         return self._rewrite("delete", where, None, sources, mark)
 
+    def delete_in(self, columns, other: Scan | DataFrame, sources: Iterable[SourceRange] = (), mark: bool = False) -> Commit:
+        """Deletes the rows whose column (or tuple of up to four) is among the rows of another question, of any number; nulls match nothing.
+
+        The question is asked once, into the shared folder: what is counted is then what is deleted, and the driver sees no value."""
+        fields = Fields(self.schema)
+        symbols = [fields[c] for c in (columns if isinstance(columns, (list, tuple)) else [columns])]
+        values, on = among(symbols, other.df if isinstance(other, Scan) else other)
+        path = shared_folder(self.spark)
+        values.write.parquet(path)
+        values = self.spark.read.schema(values.schema).parquet(path)
+        told_apart = [(s, n) for s, n in zip(symbols, values.columns, strict=True) if isinstance(s.kind, SUMMARIZED) and not isinstance(s.kind, (T.BooleanType, T.TimestampType))]
+        ends = values.agg(F.count("*").alias("n"), *(F.min(n).alias(f"least{n}") for _, n in told_apart), *(F.max(n).alias(f"most{n}") for _, n in told_apart)).first()
+        reached = Predicate.all() if ends["n"] else Predicate.none()
+        for s, n in told_apart if ends["n"] else []:
+            reached = reached & s.between(ends[f"least{n}"], ends[f"most{n}"])
+        return self._rewrite("delete", reached, None, sources, mark, (values, on))
+
     def update(self, where, changes: dict[str, Callable | Column], sources: Iterable[SourceRange] = ()) -> Commit:
         """Sets columns of the rows where it is true; a change is a Column, or a function from column-by-name to one."""
         schema = self.schema
