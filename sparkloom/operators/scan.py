@@ -20,8 +20,6 @@ from ..functions.predicates import FLOATS, Fields, Predicate, Sym, quoted
 from .aggregates import Chosen, Group, Plan, Result, bounds, grid, histogram
 
 FILE, ROW = "__file", "__row"
-#: What a semi-join's first question may give.
-MOST_VALUES = 1 << 20
 
 
 class Scan:
@@ -206,14 +204,15 @@ class Scan:
 
     # -- semi-joins ----------------------------------------------------------------------
 
-    def where_in(self, columns, other: Scan | DataFrame, most: int = MOST_VALUES, negated: bool = False) -> Scan:
+    def where_in(self, columns, other: Scan | DataFrame, most: int | None = None, negated: bool = False) -> Scan:
         """Rows whose column (or tuple of up to four) is among the rows of another question.
 
-        Nulls match nothing; a null here is unknown, so negation keeps it out too.  More than
-        `most` distinct values are refused, and small sets are broadcast by their size."""
+        Nulls match nothing; a null here is unknown, so negation keeps it out too.  There may be any
+        number of values, as no machine holds them all, unless `most` is given: more distinct ones
+        are refused then.  Small sets are broadcast by their size."""
         symbols = [self._symbol(c) for c in (columns if isinstance(columns, (list, tuple)) else [columns])]
         values, on = among(symbols, other.df if isinstance(other, Scan) else other)
-        if values.limit(most + 1).count() > most:
+        if most is not None and values.limit(most + 1).count() > most:
             raise TooManyValuesError(f"more than {most} values")
         if negated:
             known = reduce(lambda a, b: a & b, (s.column.isNotNull() for s in symbols))
