@@ -328,18 +328,24 @@ class Dataset:
         written = self.spark.read.schema(T.StructType([T.StructField(f"f{f['id']}", T.StructField.fromJson(f["field"]).dataType) for f in fields])).parquet(self.store.path(folder))
         return self._summarized(written, {str(f["id"]): f"f{f['id']}" for f in fields}, level, None, part is not None)
 
-    def _summarized(self, df: DataFrame, names: dict[str, str], level: int, imported: dict | None, parted: bool = False) -> list[Object]:
-        asked = [F.count("*").alias("rows"), F.max("__size").alias("size")]
-        kinds = {i: df.schema[n].dataType for i, n in names.items()}
+    def _summary(self, df: DataFrame, names: dict[str, str]) -> DataFrame:
+        """One row a file: rows, size, and nulls, least and greatest of each column.  No row is sorted or sent: a task holds its files' rows of these.
+
+        A least text by itself would have Spark sort all rows by their file; beside an aggregate of objects (here of nothing) it stays in a map."""
+        asked = [F.count("*").alias("rows"), F.max("__size").alias("size"), F.collect_set(F.lit(None).cast("int")).alias("nothing")]
         for i, n in names.items():
-            c = F.col(f"`{n}`")
+            c, kind = F.col(f"`{n}`"), df.schema[n].dataType
             asked.append(F.count_if(c.isNull()).alias(f"n{i}"))
-            if isinstance(kinds[i], SUMMARIZED):
-                x = F.when(~F.isnan(c), c) if isinstance(kinds[i], FLOATS) else c
+            if isinstance(kind, SUMMARIZED):
+                x = F.when(~F.isnan(c), c) if isinstance(kind, FLOATS) else c
                 asked += [F.min(x).alias(f"l{i}"), F.max(x).alias(f"m{i}")]
         known = df.withColumns({"__f": F.col("_metadata.file_path"), "__size": F.col("_metadata.file_size")})
+        return known.groupBy("__f").agg(*asked).withColumn("key", self._key_of("__f"))
+
+    def _summarized(self, df: DataFrame, names: dict[str, str], level: int, imported: dict | None, parted: bool = False) -> list[Object]:
+        kinds = {i: df.schema[n].dataType for i, n in names.items()}
         out = []
-        for r in known.groupBy(self._key_of("__f").alias("key")).agg(*asked).collect():  # one row a file
+        for r in self._summary(df, names).collect():  # one row a file
             summaries = {}
             for i, kind in kinds.items():
                 if not isinstance(kind, SUMMARIZED):
