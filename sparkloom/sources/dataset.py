@@ -36,6 +36,8 @@ LOG, DATA, MARKS = "_log", "data", "marks"
 CHECKPOINT, ATTEMPTS, TEXT = 16, 20, 64
 #: Marked rows up to which Spark may send them to all tasks, and rows in a task where they are joined by shuffle instead.
 MARKS_SENT, MARKS_TASK = 1 << 17, 1 << 18
+#: Rows that a task sorts, about: more of them are more tasks, and objects.
+SORTED = 1 << 20
 SUMMARIZED = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, *FLOATS, T.DecimalType, T.DateType, T.TimestampType, T.TimestampNTZType, T.StringType, T.BooleanType)
 #: Spark's name of a null partition value.
 NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
@@ -308,8 +310,8 @@ class Dataset:
         how = p[1]
         return s.truncate(how) if isinstance(how, str) and how in ("minute", "hour", "day", "week", "month", "quarter", "year") else s.bucket(how)
 
-    def _write(self, df: DataFrame, level: int = 0, files: int | None = None, options: dict | None = None) -> list[Object]:
-        """Objects of the rows: cut by partition, sorted by the sort key, summarized."""
+    def _write(self, df: DataFrame, level: int = 0, files: int | None = None, options: dict | None = None, rows: int | None = None) -> list[Object]:
+        """Objects of the rows (their number is counted where it is not told): cut by partition, sorted by the sort key, summarized."""
         fields = self._state.fields
         physical = [F.col(f"`{f['field']['name']}`").alias(f"f{f['id']}") for f in fields]
         ids = {f["field"]["name"]: f"f{f['id']}" for f in fields}
@@ -319,6 +321,7 @@ class Dataset:
         cut = [F.col("__p")] if part is not None else []
         n = files or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         if cut or sort:  # by range, so that a partition with most of the rows is cut by its sort key
+            n = max(n, -(-(out.count() if rows is None else rows) // SORTED))
             out = out.repartitionByRange(n, *cut, *sort).sortWithinPartitions(*cut, *sort)
         elif files:
             out = out.coalesce(files)
@@ -463,7 +466,7 @@ class Dataset:
                 if part:
                     read = self._read(part)
                     changed = build(read, predicate) if build else missed(read)
-                    made = self._write(changed, max(o.level for o in part), files=max(1, len(part)))
+                    made = self._write(changed, max(o.level for o in part), files=max(1, len(part)), rows=sum(o.rows for o in part))
 
             def change(state: State, base=base, made=made, gone=gone):
                 if state.version != base.version:

@@ -12,11 +12,17 @@ from pyspark.sql import types as T
 
 from ..errors import UnsupportedError
 from ..operators.scan import FILE, Scan
+from . import dataset as datasets
 from .dataset import ALREADY_THERE, DATA, LOG, MARKS, Commit, Dataset, Object, _load
 
+#: Rows of an object that are held against one another at once when its order is verified.
+BLOCK = 1 << 16
+
 
 def compaction_plan(dataset: Dataset, target_rows: int, fan_in: int = 8) -> list[list[Object]]:
-    """Tiers: within a partition, small objects (and those with marked rows) put together up to the target."""
+    """Tiers: within a partition, small objects (and those with marked rows) put together up to the target, or as many rows as a task sorts."""
+    if dataset.layout.sort_key or dataset.layout.partition:
+        target_rows = min(target_rows, datasets.SORTED)
     plan: list[list[Object]] = []
     by: dict[str | None, list[Object]] = {}
     for o in dataset.objects():
@@ -39,7 +45,7 @@ def compact(dataset: Dataset, target_rows: int = 1 << 20, fan_in: int = 8) -> Co
     """Writes small objects together; a new version with the same rows.  Late rows are only ever merged, never dropped."""
     done = Commit(ALREADY_THERE, dataset.version)
     for group in compaction_plan(dataset, target_rows, fan_in):
-        made = dataset._write(dataset._read(group).drop(FILE), max(o.level for o in group) + 1, files=1)
+        made = dataset._write(dataset._read(group).drop(FILE), max(o.level for o in group) + 1, files=1, rows=_rows(group))
         keys = [o.key for o in group]
         done = _swap(dataset, "compact", group, keys, made)
     return done
@@ -69,11 +75,13 @@ def level_plan(dataset: Dataset) -> list[list[Object]]:
 
 
 def compact_levels(dataset: Dataset, target_rows: int = 1 << 20) -> Commit:
-    """New objects and those of level 1 that they reach, as objects of level 1 that share no key; the rest is not touched."""
+    """New objects and those of level 1 that they reach, as objects of level 1 that share no key; the rest is not touched.
+
+    The target is the most rows that an object should have: above what a task sorts, it is that."""
     done = Commit(ALREADY_THERE, dataset.version)
     for group in level_plan(dataset):
-        files = max(1, -(-sum(o.rows - o.marked for o in group) // target_rows))
-        made = dataset._write(dataset._read(group), 1, files=files)
+        files = max(1, -(-_rows(group) // target_rows))
+        made = dataset._write(dataset._read(group), 1, files=files, rows=_rows(group))
         done = _swap(dataset, "level", group, [o.key for o in group], made)
     return done
 
@@ -83,11 +91,15 @@ def consolidate(dataset: Dataset, partition: str | None, target_rows: int = 1 <<
     own = [o for o in dataset.objects() if o.partition == partition]
     if not own:
         return Commit(ALREADY_THERE, dataset.version)
-    files = max(1, -(-sum(o.rows - o.marked for o in own) // target_rows))
-    made = dataset._write(dataset._read(own), max(o.level for o in own) + 1, files=files)
+    files = max(1, -(-_rows(own) // target_rows))
+    made = dataset._write(dataset._read(own), max(o.level for o in own) + 1, files=files, rows=_rows(own))
     return _swap(dataset, "consolidate", own, [o.key for o in own], made)
 
 
+def _rows(objects: list[Object]) -> int:
+    return sum(o.rows - o.marked for o in objects)
+
+
 def _swap(dataset: Dataset, what: str, read: list[Object], keys: list[str], made: list[Object]) -> Commit:
     """Objects for objects of the same rows; abandoned when one of those read has changed since."""
 
@@ -135,7 +147,7 @@ def erase(dataset: Dataset, where, older_than_s: float = 0.0) -> Commit:
     done = dataset.delete(where)
     marked = [o for o in dataset.objects() if o.marked]
     if marked:
-        made = dataset._write(dataset._read(marked), max(o.level for o in marked), files=len(marked))
+        made = dataset._write(dataset._read(marked), max(o.level for o in marked), files=len(marked), rows=_rows(marked))
         _swap(dataset, "erase", marked, [o.key for o in marked], made)
     vacuum(dataset, keep_versions=1, older_than_s=older_than_s)
     return done
@@ -154,9 +166,9 @@ def verify(dataset: Dataset) -> DataFrame:
     if not there:
         return out
     rows = spark.createDataFrame([(o.key, o.rows - o.marked) for o in there], "key string, recorded long")
-    df = dataset._read(there).withColumn("key", dataset._key_of(FILE))
+    df = dataset._read(there).withColumn("__object", dataset._key_of(FILE))  # a column may be named key
     part = dataset._partition(dataset.schema)
-    counted = df.groupBy("key").agg(F.count("*").alias("n"), F.count_distinct(part.column).alias("parts") if part is not None else F.lit(1).alias("parts"))
+    counted = df.groupBy(F.col("__object").alias("key")).agg(F.count("*").alias("n"), F.count_distinct(part.column).alias("parts") if part is not None else F.lit(1).alias("parts"))
     checked = rows.join(counted, "key", "left")
     out = out.unionByName(checked.where(F.coalesce("n", F.lit(0)) != F.col("recorded")).select("key", F.format_string("%s rows, %s recorded", F.coalesce("n", F.lit(0)).cast("string"), F.col("recorded").cast("string")).alias("finding")))
     out = out.unionByName(checked.where("parts > 1").select("key", F.lit("several partition values").alias("finding")))
@@ -164,8 +176,14 @@ def verify(dataset: Dataset) -> DataFrame:
     imported = {o.key for o in there if o.names is not None}
     if sort and len(there) > len(imported):
         key = F.struct(*(F.struct(F.col(c).isNull().alias("n"), F.col(c).alias("v")).alias(f"s{i}") for i, c in enumerate(sort)))
-        before = F.lag(key).over(Window.partitionBy("key").orderBy("__row"))
-        unsorted = df.where(~F.col("key").isin(list(imported))).select("key", key.alias("k"), before.alias("b")).where("b > k").select("key").distinct()
+        # a block of rows at a time, then the first and last rows of an object's blocks: no task holds an object
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * _rows(there) // datasets.SORTED))
+        numbers = F.broadcast(spark.createDataFrame([(i, o.key) for i, o in enumerate(there) if o.key not in imported], "number int, key string"))  # rows carry no names
+        cut = df.select("__object", "__row", F.expr(f"__row div {BLOCK}").alias("block"), key.alias("k")).join(numbers, F.col("__object") == F.col("key")).select("number", "__row", "block", "k").repartition(n, "number", "block")
+        within, across = Window.partitionBy("number", "block").orderBy("__row"), Window.partitionBy("number").orderBy("__row")
+        held = cut.select("number", "__row", "k", F.lag("k").over(within).alias("b"), F.lead("__row").over(within).alias("next"))
+        ends = held.where("b is null or next is null").select("number", "k", F.lag("k").over(across).alias("b"))
+        unsorted = held.select("number", "k", "b").unionByName(ends).where("b > k").select("number").distinct().join(numbers, "number")
         out = out.unionByName(unsorted.select("key", F.lit("not in the order of the sort key").alias("finding")))
     return out
 
@@ -177,7 +195,7 @@ def index(dataset: Dataset, *columns: str) -> Commit:
     own = dataset.objects()
     if not own:
         return Commit(ALREADY_THERE, dataset.version)
-    made = dataset._write(dataset._read(own), max(o.level for o in own), files=len(own), options=options)
+    made = dataset._write(dataset._read(own), max(o.level for o in own), files=len(own), options=options, rows=_rows(own))
     return _swap(dataset, "index", own, [o.key for o in own], made)
 
 
